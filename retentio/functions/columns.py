@@ -89,3 +89,9 @@ def parse_timestamp(c: Column, *formats: str) -> Column:
     """First format that fits; bad text becomes null."""
     tries = [F.try_to_timestamp(c)] + [F.try_to_timestamp(c, F.lit(f)) for f in formats]
     return F.coalesce(*tries)
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson r over the rows where both are present; null when either is constant."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

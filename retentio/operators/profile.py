@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentio.functions.columns import numeric_columns, string_columns, whole_days
+from retentio.functions.columns import numeric_columns, pearson, string_columns, whole_days
 from retentio.operators.quantiles import exact_quantiles
 
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -41,7 +41,7 @@ def missing_profile(df: DataFrame) -> DataFrame:
     """Columns with nulls, worst first."""
     return (
         missing_counts(df)
-        .withColumn("percent", F.col("missing") * 100.0 / F.col("_n"))
+        .withColumn("percent", F.col("missing") * 100.0 / F.nullif(F.col("_n"), F.lit(0)))
         .filter("missing > 0")
         .select("column", "missing", "percent")
         .orderBy(F.desc("percent"), "column")
@@ -324,7 +324,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     pairs = []
     for i, a in enumerate(columns):
         for b in columns[i:]:
-            r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
+            r = pearson(F.col(a).cast("double"), F.col(b).cast("double"))
             pairs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
     upper = df.agg(F.array(*pairs).alias("_all")).select(F.inline("_all"))
     lower = upper.filter("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
