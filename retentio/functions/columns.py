@@ -91,7 +91,6 @@ def parse_timestamp(c: Column, *formats: str) -> Column:
     return F.coalesce(*tries)
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Pearson r over the rows where both are present; null when either is constant."""
-    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson r of complete pairs; null when either side is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

@@ -6,21 +6,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentio.functions.columns import hash_key, pearson, row_mean, total
+from retentio.functions.columns import hash_key, row_mean, total
+from retentio.operators.profile import pearson_table
 from retentio.operators.quantiles import exact_quantiles
 
 BUCKET_ROWS = 1_000
 
 
-def _long(df: DataFrame, values: dict[str, Column], names: tuple[str, str]) -> DataFrame:
-    parts = F.array(*[F.struct(F.lit(f).alias(names[0]), v.alias(names[1])) for f, v in values.items()])
-    return df.agg(parts.alias("_all")).select(F.inline("_all"))
-
-
 def correlations(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """abs(Pearson r) with a numeric target, all features in one pass."""
-    y = F.col(label).cast("double")
-    return _long(df, {f: F.abs(pearson(F.col(f).cast("double"), y)) for f in features}, ("feature", "pearson_corr"))
+    table = pearson_table(df, [(f, label) for f in features])
+    return table.select(F.col("a").alias("feature"), F.abs("r").alias("pearson_corr"))
 
 
 def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 10) -> DataFrame:

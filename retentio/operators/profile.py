@@ -165,9 +165,9 @@ def period(df: DataFrame, column: str = "purchase_ts") -> DataFrame:
     )
 
 
-def _with_median(per_client: DataFrame, column: str, prefix: str, parts: list[Column]) -> DataFrame:
+def _with_median(per_client: DataFrame, column: str, name: str, parts: list[Column]) -> DataFrame:
     median = exact_quantiles(per_client, [column], [0.5])[column][0]
-    return per_client.agg(*parts, F.lit(median).cast("double").alias(f"median_{prefix}"))
+    return per_client.agg(*parts, F.lit(median).cast("double").alias(f"median_{name}"))
 
 
 def activity_stats(df: DataFrame, key: str = "client_id") -> DataFrame:
@@ -319,18 +319,28 @@ def hour_counts(df: DataFrame, column: str = "purchase_ts") -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson r of every pair, rows with a null in the pair skipped; one pass."""
+    """Pearson r of every pair, rows with a null in the pair skipped.
+
+    One pass: each row spreads into its pairs, which fold into a few partial moments per
+    pair before anything is shuffled.
+    """
     columns = columns or numeric_columns(df)
-    pairs = []
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            r = pearson(F.col(a).cast("double"), F.col(b).cast("double"))
-            pairs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
-    upper = df.agg(F.array(*pairs).alias("_all")).select(F.inline("_all"))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    upper = pearson_table(df, pairs)
     lower = upper.filter("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
     return upper.unionByName(lower)
 
 
+def pearson_table(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(a, b, r) per pair; r is null when either side is constant."""
+    cells = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in pairs
+    ]
+    long = df.select(F.inline(F.array(*cells))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return long.groupBy("a", "b").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+
+
 def strong_correlations(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     return correlation_matrix(df, columns).filter(F.abs("r") > threshold)
 
