@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import stages
-from checks.registry import query, rounded, ts
+from checks.registry import SINGLE, query, rounded, single, ts
 from checks.sql import OTHER, PRODUCT_CATEGORIES, days, high, low
 from retentio import schema
 from retentio.operators import encode, impute, profile, scaling
@@ -205,10 +205,10 @@ def top_products(spark, folder):
 @query(
     "top_products_by_mean",
     ["purchases"],
-    "SELECT product_name, round(avg(amount), 4) AS mean, count(*) AS n FROM purchases GROUP BY product_name ORDER BY avg(amount) DESC, product_name LIMIT 10",
+    f"SELECT product_name, {single('avg(amount)')} AS mean, count(*) AS n FROM purchases GROUP BY product_name ORDER BY avg(amount) DESC, product_name LIMIT 10",
 )
 def top_products_by_mean(spark, folder):
-    return rounded(profile.top_by_mean(retail.purchases(spark, folder), "product_name", "amount"), 4)
+    return rounded(profile.top_by_mean(retail.purchases(spark, folder), "product_name", "amount"), 4, mean=SINGLE)
 
 
 HISTOGRAM = """SELECT CAST(bin AS INT) AS bin, count(*) AS n, round(lo + bin * w, 4) AS "left", round(lo + (bin + 1) * w, 4) AS "right"

@@ -26,13 +26,23 @@ def query(name: str, needs: list[str] | None = None, sql: str | None = None):
     return wrap
 
 
+SINGLE = -99  # compare at single precision: means of cents sit on decimal ties too often
+
+
+def single(c: str) -> str:
+    return f"CAST(CAST({c} AS REAL) AS DOUBLE)"
+
+
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Doubles rounded so that summation order cannot show."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(c, special.get(f.name, digits)).alias(f.name))
+            if special.get(f.name) == SINGLE:
+                out.append(c.cast("float").cast("double").alias(f.name))
+            else:
+                out.append(F.round(c, special.get(f.name, digits)).alias(f.name))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             out.append(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f.name))
         else:

@@ -221,6 +221,14 @@ def cuts_select(source: str) -> str:
     )
 
 
+cte(
+    "plain",
+    ["lines"],
+    f"""SELECT client_id, count(amount) AS frequency, sum(amount) AS monetary, avg(amount) AS avg_purchase, {days('any_value(now_ts)', 'max(purchase_ts)')} AS recency
+        FROM lines, (SELECT max(purchase_ts) AS now_ts FROM lines) GROUP BY client_id""",
+)
+cte("plain_cuts", ["plain"], cuts_select("plain"))
+cte("overview", ["plain", "plain_cuts"], rfm_select("plain", "plain_cuts"))
 cte("cuts", ["cust"], cuts_select("cust"))
 cte("rfm1", ["cust", "cuts"], rfm_select("cust", "cuts"))
 cte("survivors", ["rfm1"], "SELECT * EXCLUDE (R, F, M, rfm_group, rfm_score, loyalty_segment) FROM rfm1 WHERE amount_std IS NOT NULL")
