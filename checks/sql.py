@@ -181,7 +181,6 @@ cte(
         CASE WHEN t.store IS NULL THEN 'location_other' ELSE 'location_' || replace(replace(replace(replace(s.store, ' ', '_'), ',', ''), '.', ''), '/', '_') END AS location
         FROM scaled s JOIN genders g ON s.gender = g.gender LEFT JOIN top_stores t ON s.store = t.store""",
 )
-ORDER = "purchase_ts, order_key, line_number, part_key, amount"
 cte(
     "cust",
     ["enc"],
@@ -193,7 +192,7 @@ cte(
               stddev_samp(amount) AS amount_std, min(purchase_ts) AS first_ts, max(purchase_ts) AS last_ts,
               sum(bonus_earned) AS bonus_earned_sum, avg(bonus_earned) AS bonus_earned_mean,
               sum(bonus_spent) AS bonus_spent_sum, avg(bonus_spent) AS bonus_spent_mean,
-              first(gender_code ORDER BY {ORDER}) AS gender_code, first(product_category ORDER BY {ORDER}) AS product_category
+              first(gender_code ORDER BY purchase_ts, gender_code) AS gender_code, first(product_category ORDER BY purchase_ts, list_position({PRODUCT_CATEGORIES}, product_category)) AS product_category
               FROM enc GROUP BY client_id), (SELECT max(purchase_ts) AS now_ts FROM enc)""",
 )
 

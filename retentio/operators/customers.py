@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.functions.columns import has, is_floating, numeric_columns, ratio, whole_days
+from retentio.functions.columns import has, is_floating, micros, numeric_columns, ratio, total, whole_days
 from retentio.session import materialize
 
 ROW_ORDER = ["purchase_ts", "order_key", "line_number", "part_key", "amount"]
@@ -18,6 +18,22 @@ def first_in_order(df: DataFrame, column: str, order: list[str]) -> Column:
     return F.min_by(F.col(column), F.when(F.col(column).isNotNull(), rank))
 
 
+CODE_SPAN = 2048  # codes that share a long with a timestamp in microseconds (until the year 2112)
+
+
+def earliest_code(code: Column, ts: str = "purchase_ts") -> Column:
+    """Code of the earliest row, ties to the smallest code; decode with ``decoded``.
+
+    A single long per customer keeps the whole aggregation a hash aggregation. ``min_by``
+    over a struct would turn it into a sort of all rows before the map-side combine.
+    """
+    return F.min(micros(F.col(ts)) * F.lit(CODE_SPAN) + F.when(code < CODE_SPAN, code))
+
+
+def decoded(packed: str) -> Column:
+    return F.pmod(F.col(packed), F.lit(CODE_SPAN)).cast("int")
+
+
 def purchase_aggregates(df: DataFrame, amount: str = "amount") -> list[Column]:
     """Count, sum, mean, and sample deviation of the amount."""
     return [
@@ -28,9 +44,7 @@ def purchase_aggregates(df: DataFrame, amount: str = "amount") -> list[Column]:
     ]
 
 
-def aggregate_customers(
-    df: DataFrame, key: str = "client_id", order: list[str] | None = None, keep: bool = True
-) -> DataFrame:
+def aggregate_customers(df: DataFrame, key: str = "client_id", keep: bool = True) -> DataFrame:
     """Customer table. All aggregates combine map-side, so a huge customer stays harmless.
 
     With ``keep`` the grouped table is written once, because the days since the last
@@ -38,7 +52,6 @@ def aggregate_customers(
     """
     if key not in df.columns:
         raise ValueError(f"missing key column {key}")
-    order = order or ROW_ORDER
     aggregates: list[Column] = []
     if has(df, "amount"):
         aggregates += purchase_aggregates(df)
@@ -47,15 +60,21 @@ def aggregate_customers(
     for name in ("bonus_earned", "bonus_spent"):
         if has(df, name):
             aggregates += [F.sum(name).alias(f"{name}_sum"), F.avg(name).alias(f"{name}_mean")]
-    if has(df, "gender_code"):
-        aggregates.append(first_in_order(df, "gender_code", order).alias("gender_code"))
+    decode: dict[str, Column] = {}
+    if has(df, "gender_code", "purchase_ts"):
+        aggregates.append(earliest_code(F.col("gender_code")).alias("gender_code"))
+        decode["gender_code"] = decoded("gender_code")
     shares = [
         c for c in df.columns if c.startswith(("location_", "product_")) and c not in ("product_category", "product_name")
     ]
     aggregates += [F.avg(c).alias(c) for c in shares]
-    if has(df, "product_category"):
-        aggregates.append(first_in_order(df, "product_category", order).alias("product_category"))
-    grouped = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggregates)
+    flags = [c for c in shares if c.startswith("product_")]
+    if has(df, "product_category", "purchase_ts") and flags:
+        position = total([F.col(c) * i for i, c in enumerate(flags)])
+        aggregates.append(earliest_code(position).alias("product_category"))
+        names = F.array(*[F.lit(c.removeprefix("product_")) for c in flags])
+        decode["product_category"] = F.try_element_at(names, decoded("product_category") + 1)
+    grouped = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggregates).withColumns(decode)
     if keep:
         grouped = materialize(grouped, "customers")
     return add_periods(grouped)
