@@ -75,7 +75,7 @@ def table_shape(spark, folder):
     ["tx"],
     """SELECT "column", missing, round(missing * 100.0 / (SELECT count(*) FROM tx), 6) AS percent FROM
        (SELECT unnest(['gender','card_store','store','amount','card_date']) AS "column",
-        unnest([count(*) - count(gender), count(*) - count(card_store), count(*) - count(store), count(*) - count(amount), count(*) - count(card_date)]) AS missing FROM tx)""",
+        unnest([count(*) - count(gender), count(*) - count(card_store), count(*) - count(store), count(*) - count(amount), count(*) - count(card_date)]) AS missing FROM tx) WHERE missing > 0""",
 )
 def missing_profile(spark, folder):
     return rounded(profile.missing_profile(stages.tx(spark, folder)))
@@ -121,8 +121,11 @@ def cardinality(spark, folder):
 @query(
     "small_value_counts",
     ["purchases"],
-    """SELECT 'gender' AS "column", gender AS value, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent
-       FROM purchases WHERE gender IS NOT NULL GROUP BY gender""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent
+            FROM purchases WHERE {c} IS NOT NULL AND (SELECT count(DISTINCT {c}) FROM purchases) <= 10 GROUP BY {c}"""
+        for c in ("gender", "store", "product_name")
+    ),
 )
 def small_value_counts(spark, folder):
     return rounded(profile.small_value_counts(retail.purchases(spark, folder), ["gender", "store", "product_name"]))

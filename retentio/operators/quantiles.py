@@ -60,11 +60,10 @@ def rank_values(df: DataFrame, wanted: dict, sizes: dict | None = None) -> dict[
         n, low, high = row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]
         if sizes is not None:
             sizes[name] = n
-        for group in _neighbours(ranks(n) if callable(ranks) else ranks):
-            if group[0] < 0 or group[-1] >= n:
-                found[name] |= {r: None for r in group}
-            else:
-                pending.append(_Bracket(name, group, low, high, 0, 0, n, bound=n))
+        asked = ranks(n) if callable(ranks) else ranks
+        found[name] = {r: None for r in asked if not 0 <= r < n}
+        for group in _neighbours([r for r in asked if 0 <= r < n]):
+            pending.append(_Bracket(name, group, low, high, 0, 0, n, bound=n))
     while pending:
         if any(not _fetchable(b) for b in pending):
             _sketch(df, columns, [b for b in pending if not _fetchable(b)])
@@ -110,11 +109,16 @@ def _sketch(df: DataFrame, columns: dict[str, Column], brackets: list[_Bracket])
         for j, b in enumerate(members):
             low, high = row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1]
             # a share of 0 or 1 keeps the old edge, which is known to be exact
-            b.low = low if asked[i][2 * j] > 0 else b.low
-            b.high = high if asked[i][2 * j + 1] < 1 else b.high
+            b.low = max(b.low, _widened(low, -1)) if asked[i][2 * j] > 0 else b.low
+            b.high = min(b.high, _widened(high, 1)) if asked[i][2 * j + 1] < 1 else b.high
             b.counted = True
 
 
+def _widened(edge, direction: int):
+    """Sketches work in doubles, so edges of large integers may be off by a rounding step."""
+    return edge + direction * (abs(edge) >> 51) if isinstance(edge, int) else edge
+
+
 def _count(df: DataFrame, columns: dict[str, Column], brackets: list[_Bracket], found: dict) -> list[_Bracket]:
     """Count around the brackets, fetch the small ones, and return those still open."""
     spans: dict[tuple, int] = {}

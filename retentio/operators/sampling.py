@@ -285,12 +285,20 @@ def smote(
     distinct = materialize(
         indexed.groupBy(label, "_v").agg(F.min("_index").alias("_rep"), F.count(F.lit(1)).alias("_copies")), "smote"
     )
-    lists = None
+    found = None
     for c in small:
-        found = nearest(
-            distinct.filter(F.col(label) == F.lit(c)).select(F.col("_rep").alias("id"), F.col("_v").alias("vector")), k
-        ).select(F.lit(c).cast(df.schema[label].dataType).alias(label), F.col("id").alias("_rep"), F.col("neighbours"))
-        lists = found if lists is None else lists.unionByName(found)
+        vectors = distinct.filter(F.col(label) == F.lit(c)).select(F.col("_rep").alias("id"), F.col("_v").alias("vector"))
+        part = nearest(vectors, k).select(
+            F.lit(c).cast(df.schema[label].dataType).alias(label), F.col("id").alias("_rep"), F.inline("neighbours")
+        )
+        found = part if found is None else found.unionByName(part)
+    # a neighbour with copies takes as many ranks; at most k lists of at most k ids per row
+    sized = found.join(distinct.select(label, F.col("_rep").alias("id"), F.least("_copies", F.lit(k)).alias("_c")), [label, "id"])
+    lists = sized.groupBy(label, "_rep").agg(F.array_sort(F.collect_list(F.struct("distance", "id", "_c"))).alias("_near")).select(
+        label,
+        "_rep",
+        F.slice(F.flatten(F.transform("_near", lambda x: F.array_repeat(x["id"], x["_c"].cast("int")))), 1, k).alias("_ids"),
+    )
 
     draws = _draws(df.sparkSession, label, df.schema[label].dataType, counts, seed)
     reach = F.lit(k)
@@ -307,7 +315,7 @@ def smote(
     # ranks 0..copies-2 are copies of the row itself, the next ones come from the list
     own = F.col("_rank") < F.col("_copies") - 1
     picked = F.when(own, F.col("_rep")).otherwise(
-        F.try_element_at(F.col("neighbours")["id"], (F.col("_rank") - F.col("_copies") + 2).cast("int"))
+        F.try_element_at(F.col("_ids"), (F.col("_rank") - F.col("_copies") + 2).cast("int"))
     )
     based = based.withColumn("_other", F.coalesce(picked, F.col("_rep")))
     other = distinct.select(label, F.col("_rep").alias("_other"), F.col("_v").alias("_w"))
