@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentio.functions.columns import total
-from retentio.session import materialize
 
 NOT_FEATURES = {"client_id", "rfm_score", "rfm_group", "loyalty_segment", "R", "F", "M"}
 NOT_FEATURES |= {"cluster", "cluster_segment", "loyalty_score", "base_loyalty_score", "loyalty_target"}
@@ -191,6 +190,3 @@ def fit_projection(df: DataFrame, components: int = 3, columns: list[str] | None
         loadings.append([float(v * sign) for v in column])
     return Projection(standardiser, loadings, [float(v) for v in model.explainedVariance], components)
 
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    return materialize(df, label)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from retentio.functions.columns import numeric_columns, pearson, string_columns, whole_days
 from retentio.operators.quantiles import exact_quantiles
 
+CATEGORY_LIMIT = 100  # separate density curves
+
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
@@ -238,8 +240,11 @@ def density(df: DataFrame, column: str, points: int = 40, by: str | None = None)
         .groupBy(*keys)
         .agg(F.count(x).alias("n"), F.stddev_samp(x).alias("s"), F.min(x).alias("lo"), F.max(x).alias("hi"))
         .filter("n > 1 and s > 0")
-        .collect()  # one row per category
+        .limit(CATEGORY_LIMIT + 1)
+        .collect()
     ]
+    if len(stats) > CATEGORY_LIMIT:
+        raise ValueError(f"{by} has more than {CATEGORY_LIMIT} categories")
     results = None
     for row in stats:
         h = row["s"] * row["n"] ** (-0.2)

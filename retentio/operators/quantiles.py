@@ -18,7 +18,7 @@ from retentio.operators.ranking import running_total
 
 ACCURACY = 20_000  # rank error of the sketch: n / ACCURACY
 DIRECT_LIMIT = 20_000  # values fetched without a sketch
-FETCH_LIMIT = 500_000  # values fetched per bracket, bounded before fetching
+FETCH_LIMIT = 200_000  # values fetched per bracket, bounded before fetching
 GROUP_LIMIT = 1_000_000  # rows of one group that one task may hold
 
 
