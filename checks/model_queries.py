@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from checks import stages
@@ -493,14 +491,6 @@ def random_search(spark, folder):
     return training.score_by_parameter(spark, rows)
 
 
-@query("search_spaces")
-def search_spaces(spark, folder):
-    """Every model's space, with the rows of the data it would be searched on."""
-    n = _labelled(spark, folder).count()
-    rows = [(m, kind, p, json.dumps(v), n) for kind in ("grid", "random") for m in training.GRIDS for p, v in training.search_space(m, kind).items()]
-    return spark.createDataFrame(rows, "model string, search string, parameter string, range string, n_rows long")
-
-
 @query("tuned_models")
 def tuned_models(spark, folder):
     train, _ = _parts(spark, folder)

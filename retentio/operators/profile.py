@@ -24,7 +24,7 @@ def shape(df: DataFrame) -> DataFrame:
         [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
         "position int, column string, type string",
     )
-    return fields.withColumn("n_columns", F.lit(len(df.columns))).withColumn("n_rows", F.lit(df.count()))
+    return fields.withColumn("n_columns", F.lit(len(df.columns))).withColumn("n_rows", F.lit(df.count()).cast("long"))
 
 
 def _wide_to_long(wide: DataFrame, names: list[str], value: str) -> DataFrame:
@@ -67,7 +67,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     extra = groups.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicates"))
     n = df.count()
     return extra.select(
-        F.lit(n).alias("n_rows"),
+        F.lit(n).cast("long").alias("n_rows"),
         "duplicates",
         (F.col("duplicates") * 100.0 / F.lit(max(n, 1))).alias("percent"),
     )

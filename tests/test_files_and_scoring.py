@@ -99,3 +99,18 @@ def test_profiles_with_missing_columns_are_scored(spark, bundle):
 
 def test_alias_order():
     assert schema.ALIASES["last_check_date"][0] == "Дата последнего чека"
+
+
+def test_run_saves_and_resumes(spark, tmp_path):
+    """The resumed run starts from the stored loyalty table and picks the same features."""
+    from retentio.plans.run import run
+    from retentio.sources import retail
+
+    small = dict(starts=1, repeats=1, shap_draws=1, custom={"logistic_regression": {"maxIter": 10}}, names=["logistic_regression"])
+    out = str(tmp_path / "out")
+    first = run(retail.transactions(spark, "/root/testdata/sf0.001"), out, retail.PRODUCT_RULES, save_stages=True, **small)
+    again = run(None, out, resume=("loyalty",), **small)
+    assert first.data.features == again.data.features and first.bundle.name == again.bundle.name
+    assert scoring.Bundle.load(f"{out}/best_model").features == first.data.features
+    with pytest.raises(FileNotFoundError):
+        run(None, str(tmp_path / "none"), resume=("preprocess",), **small)

@@ -144,3 +144,12 @@ def test_clusters_are_named_by_rank(spark):
     out = fitted.apply(df).groupBy("cluster_segment").agg(F.max("recency").alias("r"), F.count(F.lit(1)).alias("n")).collect()
     assert {(r["cluster_segment"], r["n"]) for r in out} == {("Высоколояльные", 30), ("Лояльные", 30)}
     assert {r["cluster_segment"]: r["r"] for r in out}["Высоколояльные"] == 2
+
+
+@pytest.mark.parametrize("name", sorted(classifiers.BASE))
+def test_search_spaces_name_existing_parameters(spark, name):
+    """Every grid and range parameter is one of the learner's own, with a value it accepts."""
+    spec = classifiers.base_specs()[name]
+    estimator = classifiers._ESTIMATORS[spec.kind][0]
+    for candidate in [*training.grid(training.search_space(name, "grid"))[:3], *training.draws(training.search_space(name), 3)]:
+        estimator(**spec.with_params(**candidate).params)
