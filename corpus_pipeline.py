@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.llm import bpe, mixing, queries, simhash, spans
+from retentio.llm import bpe, mixing, queries, rules, simhash, spans
 from retentio.session import materialize, prepare
 
 
+def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the quality rules reject go; no text is changed."""
+    return rules.accepted(docs)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies stays (SimHash)."""
     return simhash.deduplicated(docs, queries.SIMHASH_SHINGLE, queries.SIMHASH_BITS)
@@ -31,6 +36,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", quality),
     ("near_copies", near_copies),
     ("repeated_spans", repeated_spans),
     ("mixture", mixture),

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-BLOCK = 2_000_000  # bytes of text worked on at a time
+BLOCK = 1_000_000  # bytes of text worked on at a time
+BATCH_ROWS = 500  # rows of whole texts that cross to a worker at once
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -15,6 +17,15 @@ BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
 SECOND = 0xC2B2AE3D27D4EB4F
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Let whole texts cross to workers in small Arrow batches; memory then follows the longest texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def texts_of(column) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

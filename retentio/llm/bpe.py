@@ -25,10 +25,9 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retentio.llm.arrays import SECOND, slices, span_hashes
+from retentio.llm.arrays import SECOND, bounded_batches, slices, span_hashes
 
 # fixed value: the published pattern whose slices the automaton finds (used to probe classes only)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -329,64 +328,75 @@ def _with_fields(schema: T.StructType, fields: list[tuple[str, T.DataType]]) ->
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in fields]])
 
 
+def encoded_batches(batches, lines: bytes, text: str, names: list[str]):
+    """Arrow batches with the ids and token ends added, cut to blocks of bounded text."""
+    tokenizer = tokenizer_of(lines)
+    for batch, texts in slices(batches, text):
+        flat, offsets = tokenizer.encode(texts)
+        counts, offsets = np.diff(offsets), offsets.astype(np.int32)
+        total = tokenizer.ends(flat)
+        before = np.concatenate([[0], total])[offsets[:-1]]
+        stops = total - np.repeat(before, counts)
+        added = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)) for values in (flat, stops)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
+
+
+def decoded_batches(batches, lines: bytes, ids: str, ends: str, names: list[str]):
+    """Arrow batches with the bytes that the ids stand for added."""
+    tokenizer = tokenizer_of(lines)
+    for batch in batches:
+        values = []
+        for row, stops in zip(batch.column(ids), batch.column(ends)):
+            numbers = np.asarray(row.values) if row.is_valid else np.zeros(0, dtype=np.int64)
+            given = np.asarray(stops.values) if stops.is_valid else tokenizer.ends(numbers)
+            values.append(tokenizer.decode(numbers, given).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=names)
+
+
 def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", ends: str = "token_ends") -> DataFrame:
     """Add the ids of every whole text and the byte offset at which each token ends."""
     lines = read_ranks(ranks_path)
     numbers = T.ArrayType(T.IntegerType(), containsNull=False)
     schema = _with_fields(docs.schema, [(ids, numbers), (ends, T.ArrayType(T.LongType(), containsNull=False))])
-    names = [*docs.columns, ids, ends]
-
-    def run(batches):
-        tokenizer = tokenizer_of(lines)
-        for batch, texts in slices(batches, text):
-            flat, offsets = tokenizer.encode(texts)
-            counts, offsets = np.diff(offsets), offsets.astype(np.int32)
-            total = tokenizer.ends(flat)
-            before = np.concatenate([[0], total])[offsets[:-1]]
-            stops = total - np.repeat(before, counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(stops)),
-                ],
-                names=names,
-            )
-
-    return docs.mapInArrow(run, schema)
+    names = schema.fieldNames()
+    return bounded_batches(docs).mapInArrow(lambda batches: encoded_batches(batches, lines, text, names), schema)
 
 
 def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", ends: str = "token_ends", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for; null ids give no bytes."""
     lines = read_ranks(ranks_path)
     schema = _with_fields(coded.schema, [(out, T.BinaryType())])
-    names = [*coded.columns, out]
+    names = schema.fieldNames()
+    return bounded_batches(coded).mapInArrow(lambda batches: decoded_batches(batches, lines, ids, ends, names), schema)
 
-    def run(batches):
-        tokenizer = tokenizer_of(lines)
-        for batch in batches:
-            values = []
-            for row, stops in zip(batch.column(ids), batch.column(ends)):
-                numbers = np.asarray(row.values) if row.is_valid else np.zeros(0, dtype=np.int64)
-                given = np.asarray(stops.values) if stops.is_valid else tokenizer.ends(numbers)
-                values.append(tokenizer.decode(numbers, given).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=names)
-
-    return coded.mapInArrow(run, schema)
-
-
-def digests(decoded: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add n_tokens, ids_sha256 (little-endian unsigned 32-bit numbers) and decoded_sha256."""
-
-    @F.arrow_udf(T.StringType())
-    def packed(values: pa.Array) -> pa.Array:
-        rows = (np.asarray(v.values) if v.is_valid else np.zeros(0) for v in values)
-        return pa.array([hashlib.sha256(v.astype("<u4").tobytes()).hexdigest() for v in rows])
-
-    return decoded.withColumns(
-        {
-            "n_tokens": F.coalesce(F.size(ids), F.lit(0)).cast("long"),
-            "ids_sha256": packed(F.col(ids)),
-            "decoded_sha256": F.sha2(F.col(out), 256),
-        }
+
+def round_trip(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
+    """Every row but its text, with n_tokens, ids_sha256 (of the ids as little-endian unsigned
+    32-bit numbers) and decoded_sha256.
+
+    The steps of :func:`encode` and :func:`decode` follow each other batch by batch in one
+    worker, so neither ids nor decoded bytes of more than a block are held.
+    """
+    lines = read_ranks(ranks_path)
+    kept = [c for c in docs.columns if c != text]
+    schema = _with_fields(
+        docs.select(*kept).schema,
+        [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())],
     )
+    names, columns = schema.fieldNames(), docs.columns
+
+    def run(batches):
+        coded = encoded_batches(batches, lines, text, [*columns, "_ids", "_ends"])
+        for batch in decoded_batches(coded, lines, "_ids", "_ends", [*columns, "_ids", "_ends", "_bytes"]):
+            ids = [np.asarray(row.values).astype("<u4") for row in batch.column("_ids")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in kept],
+                    pa.array([len(i) for i in ids], pa.int64()),
+                    pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids]),
+                    pa.array([hashlib.sha256(b.as_py()).hexdigest() for b in batch.column("_bytes")]),
+                ],
+                names=names,
+            )
+
+    return bounded_batches(docs).mapInArrow(run, schema)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe, mixing, shards, simhash, spans
-from retentio.session import prepare
+from retentio.llm import bpe, mixing, rules, shards, simhash, spans
+from retentio.session import materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,11 +144,23 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 @query
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), RANKS).drop("text")
-    decoded = bpe.decode(coded, RANKS)
-    return bpe.digests(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), RANKS)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """Bring ``n_chars`` up to date with the text."""
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+# --- 5: quality rules ----------------------------------------------------------------------
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    voted = materialize(rules.with_votes(rules.with_statistics(docs).drop("text")), "votes")
+    verdicts = rules.judged(voted, rules.fit(voted))
+    return verdicts.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retentio.llm.arrays import slices
+from retentio.llm.arrays import bounded_batches, slices
 from retentio.llm.graphs import components
 from retentio.session import materialize
 
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: st
             )
 
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, schema)
+    return bounded_batches(narrow).mapInArrow(run, schema)
 
 
 def _masks(radius: int) -> list[int]:

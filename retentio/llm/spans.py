@@ -24,16 +24,14 @@ columns have names that are refused if the table has them already.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retentio.llm.arrays import BASE, SECOND, Words, blocks, mixed, powers, window_hashes
+from retentio.llm.arrays import BASE, SECOND, Words, blocks, bounded_batches, mixed, powers, window_hashes
 from retentio.session import materialize
 
 SEED_WORDS = 8
@@ -70,7 +68,7 @@ def _packed(rows: DataFrame, text: str) -> DataFrame:
             columns[i] = pa.array([None if v is None else squeeze(v) for v in values], pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(run, schema)
 
 
 def _unpacked(column) -> list[bytes]:
@@ -142,7 +140,7 @@ def paths(rows: DataFrame, window: int, text: str = "text") -> DataFrame:
                         names=["_doc", "_copy", "start", "edges", "minimiser", "content"],
                     )
 
-    return narrow.mapInArrow(run, _PATHS)
+    return bounded_batches(narrow).mapInArrow(run, _PATHS)
 
 
 def _edges_of(rows: DataFrame, window: int) -> DataFrame:
@@ -172,7 +170,7 @@ def _edges_of(rows: DataFrame, window: int) -> DataFrame:
                     names=["_doc", "_copy", "start", "first", "second"],
                 )
 
-    return rows.select(*KEY, "text", "_spans").mapInArrow(run, _EDGES)
+    return bounded_batches(rows.select(*KEY, "text", "_spans")).mapInArrow(run, _EDGES)
 
 
 def repeated_paths(rows: DataFrame, window: int, text: str = "text") -> DataFrame:
@@ -278,15 +276,10 @@ def without_repeats(
                 names=[*names, n_words, n_removed, removed],
             )
 
-    return rows.mapInArrow(run, schema)
-
-
-def words_digest(text: str):
-    """Column: SHA-256 of the words of a text joined by one space."""
+    return bounded_batches(rows).mapInArrow(run, schema)
 
-    @F.arrow_udf(T.StringType())
-    def digest(values: pa.Array) -> pa.Array:
-        texts = values.cast(pa.binary()).to_pylist()
-        return pa.array([hashlib.sha256(b" ".join((t or b"").split())).hexdigest() for t in texts])
 
-    return digest(F.col(text))
+def words_digest(text: str) -> Column:
+    """SHA-256 of the words of a text joined by one space."""
+    bare = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.sha2(F.array_join(F.split(bare, r"[ \t-\r]+"), " "), 256)
