@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe, mixing, rules, shards, simhash, spans
+from retentio.llm import bpe, mixing, rules, shards, simhash, sketches, spans
 from retentio.session import materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,11 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return verdicts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+# --- 4: fingerprints -----------------------------------------------------------------------
+
+
+@query
+def op4_scaled_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.edit_report(table(spark, folder, "documents"))
