@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe, mixing, rules, shards, simhash, sketches, spans
+from retentio.llm import bpe, hmm, mixing, rules, shards, simhash, sketches, spans
 from retentio.session import materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,21 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_scaled_sketches(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.edit_report(table(spark, folder, "documents"))
+
+
+# --- 6: language model ---------------------------------------------------------------------
+
+
+def _remainder(doc_id: str, divisor: int) -> Column:
+    """crc32 of the id as text, modulo ``divisor``; a null id is empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+@query
+def op6_hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = _remainder("doc_id", 7) == 2
+    tokens = hmm.blocks(docs, held_out)
+    words = hmm.vocabulary(tokens)
+    model, _ = hmm.train(docs, tokens, words, held_out)
+    return hmm.score(tokens, words, model)
