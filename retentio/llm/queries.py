@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe, hmm, mixing, rules, shards, simhash, sketches, spans
+from retentio.llm import bpe, hmm, mixing, quality, rules, shards, simhash, sketches, spans
 from retentio.session import materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,20 @@ def op6_hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
     words = hmm.vocabulary(tokens)
     model, _ = hmm.train(docs, tokens, words, held_out)
     return hmm.score(tokens, words, model)
+
+
+# --- 2: quality classifier -----------------------------------------------------------------
+
+QUALITY_CUT = 0.3
+
+
+@query
+def op2_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = materialize(quality.with_statistics(docs), "statistics")
+    held_out = _remainder("doc_id", 5) == 0
+    model = quality.train(rows, table(spark, folder, "labels"), held_out)
+    scored = quality.with_scores(rows, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted")
+    )
