@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe, hmm, mixing, quality, rules, shards, simhash, sketches, spans
+from retentio.llm import bpe, chats, hmm, mixing, quality, rules, shards, simhash, sketches, spans
 from retentio.session import materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,23 @@ def op2_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted")
     )
+
+
+# --- 7: chat formatting --------------------------------------------------------------------
+
+
+@query
+def op7_format_chats(spark: SparkSession, folder: str) -> DataFrame:
+    return chats.format_chats(table(spark, folder, "conversations"))
+
+
+SQL["op7_format_chats"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+r AS (SELECT *, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+    string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER w AS prefix
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS copies FROM r WHERE position = n_turns - 1 GROUP BY prefix),
+m AS (SELECT e.* FROM e ANTI JOIN (SELECT prefix FROM r WHERE position < n_turns - 1) p ON e.prefix = p.prefix)
+SELECT r.conv_id, n_turns, copies, position, role,
+  '<|im_start|>' || role || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS rendered
+FROM r JOIN m ON r.conv_id = m.conv_id"""
