@@ -23,7 +23,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retentio.session import materialize
+
 WHITE = " \t\n\x0b\f\r"
+THRESHOLD = 0.5
 GOOD, BAD, ABSTAIN = 1, 0, -1
 
 
@@ -212,7 +215,7 @@ def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES) -> Model:
     return estimate(sorted((tuple(row[n] for n in names), row["n"]) for row in rows), rules)
 
 
-def judged(voted: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
+def judged(voted: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """Add base_failed, quality (the posterior) and kept."""
     return (
         voted.withColumn("base_failed", base_failed())
@@ -222,6 +225,16 @@ def judged(voted: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES, thre
 
 
 def accepted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Rows of ``docs`` that the rules keep: one pass to fit, one to filter, no shuffle of texts."""
-    voted = with_votes(with_statistics(docs, text), rules)
-    return judged(voted, fit(voted, rules), rules).filter("kept").select(*docs.columns)
+    """Rows of ``docs`` that the rules keep; no shuffle of texts.
+
+    Rows and votes are written once: the fit reads the votes alone, and the filter is a short
+    expression over them (over the statistics themselves the optimiser would repeat the work).
+    """
+    # whole rows ride along as one struct, so that no column of theirs meets a working column
+    rows = docs.select(F.col(text).alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("_q_row"))
+    rated = with_votes(with_statistics(rows), rules)
+    votes = [f"_q_vote_{r.name}" for r in rules]
+    short = base_failed().alias("_q_failed")
+    voted = materialize(rated.select("_q_row", *votes, short), "votes")
+    good = fit(voted, rules).posterior(rules) >= THRESHOLD
+    return voted.filter(~F.col("_q_failed") & good).select("_q_row.*")
