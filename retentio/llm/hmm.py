@@ -327,14 +327,14 @@ def _seeded(docs: DataFrame, held_out: Column, states: int, classes: int, spread
         chosen = [int(np.argmax(shape @ shape.sum(axis=0)))]
         for _ in range(1, min(states, len(rows))):
             chosen.append(int(np.argmin((shape @ shape[chosen].T).max(axis=1))))
+        centres = shape[chosen]
         for _ in range(5):
-            near = np.argmax(shape @ shape[chosen].T if isinstance(chosen, list) else shape @ chosen.T, axis=1)
-            chosen = np.stack([shape[near == s].sum(axis=0) if (near == s).any() else shape[s] for s in range(states)])
-            chosen /= np.linalg.norm(chosen, axis=1)[:, None]
-        for s in range(states):
-            if (near == s).any():
-                own = seen[near == s].sum(axis=0)
-                emit[s] = 0.6 * own / own.sum() + 0.4 * spread
+            near = np.argmax(shape @ centres.T, axis=1)
+            centres = np.stack([shape[near == s].sum(axis=0) if (near == s).any() else c for s, c in enumerate(centres)])
+            centres /= np.linalg.norm(centres, axis=1)[:, None]
+        for s in np.unique(near):  # states without a seed start from all texts
+            own = seen[near == s].sum(axis=0)
+            emit[s] = 0.6 * own / own.sum() + 0.4 * spread
     move = np.full((states, states), 0.04 / max(states - 1, 1))
     np.fill_diagonal(move, 0.96 if states > 1 else 1.0)
     return Model(np.full(states, 1 / states), move, emit)

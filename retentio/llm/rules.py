@@ -27,6 +27,7 @@ from retentio.session import materialize
 
 WHITE = " \t\n\x0b\f\r"
 THRESHOLD = 0.5
+PSEUDO = 100.0
 GOOD, BAD, ABSTAIN = 1, 0, -1
 
 
@@ -173,12 +174,13 @@ def start(rules: tuple[Rule, ...]) -> Model:
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: tuple[Rule, ...], rounds: int = 200) -> Model:
     """Expectation-maximisation over (votes of the rules, number of documents) patterns.
 
-    One pseudo-document in the proportions of the start keeps every chance above zero.
+    ``PSEUDO`` documents in the proportions of the start keep every chance above zero, and keep a
+    handful of odd documents from turning the rules around.
     """
     model = first = start(rules)
     total = sum(n for _, n in patterns)
     for _ in range(rounds):
-        weight = {GOOD: first.good, BAD: 1 - first.good}
+        weight = {GOOD: PSEUDO * first.good, BAD: PSEUDO * (1 - first.good)}
         sums = {
             r.name: {c: {v: weight[c] * first.votes[r.name][c][v] for v in (GOOD, BAD, ABSTAIN)} for c in (GOOD, BAD)}
             for r in rules
@@ -193,7 +195,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: tuple[Rule, ...
                 weight[c] += w
                 for rule, vote in zip(rules, votes):
                     sums[rule.name][c][vote] += w
-        share = weight[GOOD] / (total + 1)
+        share = weight[GOOD] / (total + PSEUDO)
         chances = {
             name: {c: {v: x / sum(by.values()) for v, x in by.items()} for c, by in classes.items()}
             for name, classes in sums.items()
