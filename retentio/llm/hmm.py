@@ -11,7 +11,7 @@ classes, and the length of each text. A pass of Baum-Welch is one job over the b
 expected counts are summed by class across partitions; at most classes x states numbers reach
 the driver. Inside a block, texts are cut into short chunks that are advanced together: each
 chunk's transition-emission product links its ends, so states and likelihoods are exact for
-whole texts of any length, and every step is scaled.
+whole texts of any length.
 
 Initial states come from at most ``SEEDS`` texts (those with the smallest hash); all texts count
 in every pass of training.
@@ -40,6 +40,7 @@ STATES, CLASSES, PASSES = 6, 1 << 14, 5
 SEEDS, SEED_TOKENS = 240, 40
 BLOCK_TOKENS = 1 << 20
 CHUNK = 64
+SCALED = 8
 SHORT, ENDING = 5, 3  # bytes: words up to SHORT are classed whole, others by their ENDING
 END = np.uint64(1)  # hash of the end token, whose class is 0
 PRIOR = 100.0
@@ -175,42 +176,52 @@ class Model:
 
 
 class Chunks:
-    """Texts of one block cut into chunks of ``CHUNK`` tokens that advance together."""
+    """Texts of one block cut into chunks of ``CHUNK`` tokens that advance together.
+
+    Chunks are held longest first, so that those still running at a step are the first ones.
+    Vectors are scaled every ``SCALED`` steps, long before they could underflow.
+    """
 
     def __init__(self, kinds: np.ndarray, lengths: np.ndarray):
-        per_text = -(-lengths // CHUNK)
-        self.first = np.cumsum(per_text) - per_text
-        self.per_text = per_text
-        n = int(per_text.sum())
-        text = np.repeat(np.arange(len(lengths)), per_text)
-        self.size = np.minimum(lengths[text] - (np.arange(n) - self.first[text]) * CHUNK, CHUNK)
-        self.inside = np.arange(CHUNK) < self.size[:, None]
-        self.kinds = np.zeros((n, CHUNK), dtype=np.int64)
-        self.kinds[self.inside] = kinds
+        self.per_text = -(-lengths // CHUNK)
+        first = np.cumsum(self.per_text) - self.per_text
+        n = int(self.per_text.sum())
+        text = np.repeat(np.arange(len(lengths)), self.per_text)
+        size = np.minimum(lengths[text] - (np.arange(n) - first[text]) * CHUNK, CHUNK)
+        inside = np.arange(CHUNK) < size[:, None]
+        table = np.zeros((n, CHUNK), dtype=np.int64)
+        table[inside] = kinds
+        order = np.argsort(-size, kind="stable")
+        self.first = first
+        self.place = np.empty(n, dtype=np.int64)
+        self.place[order] = np.arange(n)
+        self.kinds = np.ascontiguousarray(table[order].T)
+        self.running = np.searchsorted(-size[order], -np.arange(CHUNK), side="left")  # chunks longer than t
 
     def ends(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """State before each chunk, what follows each chunk, and natural log-likelihood of each text."""
-        n, k = len(self.size), len(model.start)
+        n, k = len(self.place), len(model.start)
         by_kind = np.ascontiguousarray(model.emit.T)
         product = np.broadcast_to(np.eye(k), (n, k, k)).copy()
+        scratch = np.empty((n * k, k))
         scale = np.zeros(n)
         for t in range(CHUNK):
-            on = self.inside[:, t]
-            if not on.any():
+            m = self.running[t]
+            if not m:
                 break
-            part = slice(None) if on.all() else np.flatnonzero(on)
-            now = (product[part].reshape(-1, k) @ model.move).reshape(-1, k, k)
-            now *= by_kind[self.kinds[part, t]][:, None, :]
-            total = now.sum(axis=(1, 2))
-            product[part] = now / total[:, None, None]
-            scale[part] += np.log(total)
+            now = np.matmul(product[:m].reshape(-1, k), model.move, out=scratch[: m * k]).reshape(m, k, k)
+            np.multiply(now, by_kind[self.kinds[t, :m]][:, None, :], out=product[:m])
+            if t % SCALED == SCALED - 1:
+                total = product[:m].sum(axis=(1, 2))
+                product[:m] /= total[:, None, None]
+                scale[:m] += np.log(total)
         before, after = np.empty((n, k)), np.empty((n, k))
         likelihood = np.zeros(len(self.first))
         state = np.tile(model.start, (len(self.first), 1))
         steps = int(self.per_text.max(initial=0))
         for j in range(steps):
             live = np.flatnonzero(self.per_text > j)
-            chunk = self.first[live] + j
+            chunk = self.place[self.first[live] + j]
             before[chunk] = state[live]
             now = np.einsum("ni,nij->nj", state[live], product[chunk])
             total = now.sum(axis=1)
@@ -219,7 +230,7 @@ class Chunks:
         rest = np.ones((len(self.first), k))
         for j in range(steps - 1, -1, -1):
             live = np.flatnonzero(self.per_text > j)
-            chunk = self.first[live] + j
+            chunk = self.place[self.first[live] + j]
             after[chunk] = rest[live]
             now = np.einsum("nij,nj->ni", product[chunk], rest[live])
             rest[live] = now / now.sum(axis=1)[:, None]
@@ -227,33 +238,42 @@ class Chunks:
 
     def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected starts, moves and emissions of one pass, and the log-likelihood."""
-        n, k = len(self.size), len(model.start)
+        k = len(model.start)
         before, after, likelihood = self.ends(model)
         by_kind = np.ascontiguousarray(model.emit.T)
-        ahead = np.empty((CHUNK + 1, n, k))
-        ahead[0] = before
-        for t in range(CHUNK):
-            now = (ahead[t] @ model.move) * by_kind[self.kinds[:, t]]
-            now /= now.sum(axis=1)[:, None]
-            ahead[t + 1] = np.where(self.inside[:, t, None], now, ahead[t])
-        moves = np.zeros((k, k))
-        weight = np.zeros((CHUNK, n, k))
-        back = after.copy()
-        for t in range(CHUNK - 1, -1, -1):
-            on = np.flatnonzero(self.inside[:, t])
-            if not len(on):
-                continue
-            share = ahead[t + 1][on] * back[on]
-            weight[t, on] = share / share.sum(axis=1)[:, None]
-            seen = by_kind[self.kinds[on, t]] * back[on]
-            total = ((ahead[t][on] @ model.move) * seen).sum(axis=1)
-            moves += ahead[t][on].T @ (seen / total[:, None])
-            now = seen @ model.move.T
-            back[on] = now / now.sum(axis=1)[:, None]
+        steps = int(np.count_nonzero(self.running))
+        ahead, seen_at = [before], []
+        for t in range(steps):
+            m = self.running[t]
+            seen = by_kind[self.kinds[t, :m]]
+            now = ahead[t][:m] @ model.move
+            now *= seen
+            if t % SCALED == SCALED - 1:
+                now /= now.sum(axis=1)[:, None]
+            ahead.append(now)
+            seen_at.append(seen)
+        moves, weights = np.zeros((k, k)), []
+        back = after
+        for t in range(steps - 1, -1, -1):
+            m = self.running[t]
+            part = back[:m]
+            share = ahead[t + 1] * part
+            total = share.sum(axis=1)[:, None]
+            share /= total
+            weights.append(share)
+            seen = seen_at[t]
+            seen *= part
+            # chance of the whole text through this step, in the scale of ``ahead`` and ``back``
+            through = ((ahead[t][:m] @ model.move) * seen).sum(axis=1)[:, None] if t % SCALED == SCALED - 1 else total
+            moves += ahead[t][:m].T @ (seen / through)
+            np.matmul(seen, model.move.T, out=part)
+            if t % SCALED == 0:
+                part /= part.sum(axis=1)[:, None]
         moves *= model.move
-        flat = self.kinds.T.ravel()
-        emits = np.stack([np.bincount(flat, weights=weight[:, :, s].ravel(), minlength=len(by_kind)) for s in range(k)])
-        first = self.first[self.per_text > 0]
+        flat = np.concatenate([self.kinds[t, : self.running[t]] for t in range(steps - 1, -1, -1)]) if steps else np.zeros(0, dtype=np.int64)
+        weight = np.concatenate(weights).T if weights else np.zeros((k, 0))
+        emits = np.stack([np.bincount(flat, weights=w, minlength=len(by_kind)) for w in weight])
+        first = self.place[self.first[self.per_text > 0]]
         begin = model.start * back[first]
         return (begin / begin.sum(axis=1)[:, None]).sum(axis=0), moves, emits, float(likelihood.sum())
 
@@ -308,21 +328,40 @@ def _pass(table: DataFrame, model: Model) -> tuple[Model, float]:
     )
 
 
-def _seeded(docs: DataFrame, held_out: Column, states: int, classes: int, spread: np.ndarray, text: str) -> Model:
-    """Starting states: the class counts of texts that differ most among a bounded number of texts."""
-    order = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    words = F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+", SEED_TOKENS + 1))
-    rows = (
-        docs.filter(~F.coalesce(held_out, F.lit(False)) & (words > SEED_TOKENS))
-        .select(F.col(text).alias("text"), order.alias("o"))
-        .orderBy("o")
-        .limit(SEEDS)
-        .collect()
-    )
+def _seeds(table: DataFrame) -> list[np.ndarray]:
+    """Classes of at most about ``SEEDS`` different training texts: those with the smallest hashes."""
+    eligible = F.filter(F.arrays_zip("held", "lengths"), lambda x: ~x["held"] & (x["lengths"] > SEED_TOKENS))
+    n = table.agg(F.sum(F.size(eligible))).first()[0] or 0
+    below = SEEDS / n if n > SEEDS else 1.0
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held, lengths, words, kinds = (np.asarray(batch.column(c)[i].values) for c in ("held", "lengths", "words", "kinds"))
+                tokens = _spread(batch.column("tokens")[i].as_py())
+                begin = np.cumsum(lengths) - lengths
+                own = mixed(np.add.reduceat(mixed(words.view(np.uint64))[tokens], begin))
+                chosen = np.flatnonzero(~held & (lengths > SEED_TOKENS) & (own.astype(np.float64) < below * 2.0**64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(own[chosen].view(np.int64)),
+                        pa.array([kinds[tokens[begin[d] : begin[d] + lengths[d]]] for d in chosen], pa.list_(pa.int32())),
+                    ],
+                    names=["own", "kinds"],
+                )
+
+    found = table.select("held", "lengths", "words", "kinds", "tokens").mapInArrow(run, "own long, kinds array<int>")
+    different = found.groupBy("own").agg(F.first("kinds").alias("kinds")).orderBy("own").limit(SEEDS)
+    return [np.array(row.kinds) for row in different.collect()]
+
+
+def _seeded(table: DataFrame, states: int, classes: int, spread: np.ndarray) -> Model:
+    """Starting states: the class counts of groups of texts that differ most among the seeds."""
+    rows = _seeds(table)
     spread = (spread + 1.0) / (spread + 1.0).sum()
     emit = np.tile(spread, (states, 1))
     if rows:
-        seen = np.stack([np.bincount(_tokens([r.text.encode()], classes)[1], minlength=classes) for r in rows]).astype(float)
+        seen = np.stack([np.bincount(r, minlength=classes) for r in rows]).astype(float)
         shape = np.sqrt(seen / seen.sum(axis=1)[:, None])
         chosen = [int(np.argmax(shape @ shape.sum(axis=0)))]
         for _ in range(1, min(states, len(rows))):
@@ -340,17 +379,9 @@ def _seeded(docs: DataFrame, held_out: Column, states: int, classes: int, spread
     return Model(np.full(states, 1 / states), move, emit)
 
 
-def train(
-    docs: DataFrame,
-    table: DataFrame,
-    words: Vocabulary,
-    held_out: Column,
-    states: int = STATES,
-    passes: int = PASSES,
-    text: str = "text",
-) -> tuple[Model, list[float]]:
+def train(table: DataFrame, words: Vocabulary, states: int = STATES, passes: int = PASSES) -> tuple[Model, list[float]]:
     """Model and the log-likelihood of the training texts before each pass."""
-    model = _seeded(docs, held_out, states, len(words.class_tokens), words.class_tokens, text)
+    model = _seeded(table, states, len(words.class_tokens), words.class_tokens)
     history = []
     for _ in range(passes):
         model, likelihood = _pass(table, model)

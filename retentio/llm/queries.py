@@ -188,7 +188,7 @@ def op6_hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
     held_out = _remainder("doc_id", 7) == 2
     tokens = hmm.blocks(docs, held_out)
     words = hmm.vocabulary(tokens)
-    model, _ = hmm.train(docs, tokens, words, held_out)
+    model, _ = hmm.train(tokens, words)
     return hmm.score(tokens, words, model)
 
 

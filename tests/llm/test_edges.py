@@ -163,7 +163,7 @@ def test_language_model(docs, none):
         held = queries._remainder("doc_id", 7) == 2
         table = hmm.blocks(d, held)
         known = hmm.vocabulary(table)
-        model, history = hmm.train(d, table, known, held, passes=3)
+        model, history = hmm.train(table, known, passes=3)
         return hmm.score(table, known, model), history
 
     found, history = scored(docs)
