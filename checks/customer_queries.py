@@ -205,12 +205,12 @@ DIVERSITY = ["product_diversity", "product_categories", "product_gini", "locatio
 @query(
     "diversity_features",
     ["diversity"],
-    """SELECT client_id, round(product_diversity, 6) AS product_diversity, product_categories, round(product_gini, 6) + 0.0 AS product_gini,
+    """SELECT client_id, round(product_diversity, 6) AS product_diversity, product_categories, round(product_gini, 9) + 0.0 AS product_gini,
        round(location_loyalty, 6) AS location_loyalty, location_diversity FROM diversity""",
 )
 def diversity_features(spark, folder):
     df = loyalty.add_features(stages.rfm_customers(spark, folder), parity=False)
-    return rounded(df.select("client_id", *DIVERSITY)).withColumn("product_gini", F.col("product_gini") + 0.0)
+    return rounded(df.select("client_id", *DIVERSITY), 6, product_gini=9).withColumn("product_gini", F.col("product_gini") + 0.0)
 
 
 # --- clusters (a given grouping for the twins, k-means for the rest)

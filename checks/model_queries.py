@@ -180,7 +180,7 @@ def tomek_removal(spark, folder):
 
 @query("smote_and_tomek")
 def smote_and_tomek(spark, folder):
-    df, label = sampling.rebalance(stages.targeted(spark, folder), "sampling", features=SPACE)
+    df, label, _ = sampling.rebalance(stages.targeted(spark, folder), "sampling", features=SPACE)
     return df.groupBy(label, "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -195,19 +195,19 @@ RECUT = """SELECT [list_extract(s, 1), list_extract(s, 2), list_extract(s, 3), l
         (SELECT {categories_case('loyalty_score', ['0', 'b[1]', 'b[2]', 'b[3]', 'b[4]', '1'])} AS balanced_category FROM target_raw, ({RECUT.format(m='raw')})) GROUP BY 1""",
 )
 def balance_by_boundaries(spark, folder):
-    df, label = sampling.rebalance(stages.targeted(spark, folder, "raw"), "boundary")
+    df, label, _ = sampling.rebalance(stages.targeted(spark, folder, "raw"), "boundary")
     return df.groupBy("balanced_category", label).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("balance_combined")
 def balance_combined(spark, folder):
-    df, label = sampling.rebalance(stages.targeted(spark, folder), "combine", features=SPACE)
+    df, label, _ = sampling.rebalance(stages.targeted(spark, folder), "combine", features=SPACE)
     return df.groupBy(label, "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("balance_none", ["target_unit"], "SELECT loyalty_target, count(*) AS n FROM target_unit GROUP BY 1")
 def balance_none(spark, folder):
-    df, label = sampling.rebalance(stages.targeted(spark, folder), "none")
+    df, label, _ = sampling.rebalance(stages.targeted(spark, folder), "none")
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 

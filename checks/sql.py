@@ -257,7 +257,7 @@ cte(
 cte(
     "product_shares",
     ["enc"],
-    """SELECT client_id, product_category AS category, k / CAST(n AS DOUBLE) AS share FROM
+    """SELECT client_id, product_category AS category, k, n, k / CAST(n AS DOUBLE) AS share FROM
        (SELECT client_id, product_category, count(*) AS k FROM enc GROUP BY 1, 2)
        JOIN (SELECT client_id, count(*) AS n FROM enc GROUP BY 1) USING (client_id)""",
 )
@@ -265,7 +265,7 @@ cte(
     "diversity",
     ["location_shares", "product_shares"],
     """SELECT * FROM (SELECT client_id, sum(share) AS product_diversity, CAST(count(*) AS INT) AS product_categories,
-       1 - sum(share * share) / (sum(share) * sum(share)) AS product_gini FROM product_shares GROUP BY client_id)
+       CAST(any_value(n) * any_value(n) - sum(k * k) AS DOUBLE) / CAST(any_value(n) * any_value(n) AS DOUBLE) AS product_gini FROM product_shares GROUP BY client_id)
        JOIN (SELECT client_id, max(share) AS location_loyalty, CAST(count(*) AS INT) AS location_diversity FROM location_shares GROUP BY client_id) USING (client_id)""",
 )
 

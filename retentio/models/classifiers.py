@@ -59,7 +59,8 @@ def decide(df: DataFrame, classes: list[int]) -> DataFrame:
 
 
 def labels(df: DataFrame) -> list[int]:
-    return sorted(int(row[0]) for row in df.select("label").distinct().limit(1000).collect())
+    """All classes present; every one is trained, however many there are."""
+    return sorted(int(row[0]) for row in df.select("label").distinct().collect())
 
 
 @dataclass

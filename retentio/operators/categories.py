@@ -137,10 +137,16 @@ def agreement(df: DataFrame, a: str = CATEGORY, b: str = "loyalty_segment") -> D
 def transition_matrix(
     base: DataFrame, enhanced: DataFrame, key: str = "client_id", a: str = "loyalty_segment", b: str = CATEGORY
 ) -> DataFrame:
-    """Share of each base segment that lands in each category, customers matched by key."""
-    counts = base.select(key, a).join(enhanced.select(key, b), key).groupBy(a).pivot(b, NAMES).count()
-    filled = {n: F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in NAMES}
-    whole = sum(list(filled.values())[1:], filled[NAMES[0]])
+    """Share of each base segment that lands in each category, customers matched by key.
+
+    The columns are the five names, or the categories that occur where there are others.
+    """
+    found = sorted(row[0] for row in enhanced.select(b).filter(F.col(b).isNotNull()).distinct().collect())
+    names = NAMES if set(found) <= set(NAMES) else found
+    matched = base.select(key, a).join(enhanced.select(key, b).filter(F.col(b).isNotNull()), key)
+    counts = matched.groupBy(a).pivot(b, names).count()
+    filled = {n: F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in names}
+    whole = sum(list(filled.values())[1:], filled[names[0]])
     return counts.select(a, *[(c / whole).alias(n) for n, c in filled.items()])
 
 

@@ -67,7 +67,7 @@ def fit_standardiser(df: DataFrame, columns: list[str] | None = None) -> Standar
     return Standardiser(columns, means, spread)
 
 
-def fit_kmeans(points: DataFrame, k: int, seed: int = 42, starts: int = 10, parallelism: int = 2, max_iter: int = 20) -> KMeansModel:
+def fit_kmeans(points: DataFrame, k: int, seed: int = 42, starts: int = 10, parallelism: int = 2, max_iter: int = 300) -> KMeansModel:
     """Best of several starts by within-cluster cost."""
 
     def run(i: int) -> KMeansModel:
@@ -141,7 +141,7 @@ def rank_clusters(profile: DataFrame, cluster: str = "cluster") -> DataFrame:
     return ranked.withColumn("position", position).withColumn("cluster_segment", segment)
 
 
-def fit_clusters(df: DataFrame, k: int | str = 5, seed: int = 42, starts: int = 10, max_iter: int = 20) -> Clustering:
+def fit_clusters(df: DataFrame, k: int | str = 5, seed: int = 42, starts: int = 10, max_iter: int = 300) -> Clustering:
     standardiser = fit_standardiser(df)
     points = df.select(standardiser.vector().alias("_x")).persist()
     try:

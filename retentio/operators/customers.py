@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +20,16 @@ def first_in_order(df: DataFrame, column: str, order: list[str]) -> Column:
     return F.min_by(F.col(column), F.when(F.col(column).isNotNull(), rank))
 
 
-CODE_SPAN = 2048  # codes that share a long with a timestamp in microseconds (until the year 2112)
+CODE_SPAN = Decimal(10**10)  # more than any 32-bit code; beside a timestamp it fits 38 digits
 
 
 def earliest_code(code: Column, ts: str = "purchase_ts") -> Column:
     """Code of the earliest row, ties to the smallest code; decode with ``decoded``.
 
-    A single long per customer keeps the whole aggregation a hash aggregation. ``min_by``
+    A single number per customer keeps the whole aggregation a hash aggregation. ``min_by``
     over a struct would turn it into a sort of all rows before the map-side combine.
     """
-    return F.min(micros(F.col(ts)) * F.lit(CODE_SPAN) + F.when(code < CODE_SPAN, code))
+    return F.min(micros(F.col(ts)).cast("decimal(20,0)") * F.lit(CODE_SPAN) + code.cast("decimal(10,0)"))
 
 
 def decoded(packed: str) -> Column:

@@ -153,5 +153,5 @@ def best_model(results: DataFrame, metric: str = "f1_macro") -> DataFrame:
 def metric_comparison(results: DataFrame) -> DataFrame:
     """One row per metric, one column per model."""
     long = results.unpivot(["model"], METRICS, "metric", "value")
-    models = [row["model"] for row in results.select("model").distinct().orderBy("model").limit(1000).collect()]
+    models = [row["model"] for row in results.select("model").distinct().orderBy("model").collect()]
     return long.groupBy("metric").pivot("model", models).agg(F.first("value"))

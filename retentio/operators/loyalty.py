@@ -28,12 +28,24 @@ def _shares(df: DataFrame, prefix: str) -> list[str]:
     return [c for c in df.columns if c.startswith(prefix) and c not in engineered]
 
 
-def gini_simpson(columns: list[str]) -> Column:
-    """1 - sum of squared shares; 0 when there is nothing to share."""
+def gini_simpson(columns: list[str], purchases: str | None = None) -> Column:
+    """1 - sum of squared shares; 0 when there is nothing to share.
+
+    With the number of purchases, shares that are whole counts of it are turned back into
+    counts, so that the result does not depend on the order of floating-point sums.
+    """
     values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
-    whole = total(values)
-    squares = total([v * v for v in values])
-    return F.when(whole == 0, F.lit(0.0)).otherwise(1 - squares / (whole * whole))
+
+    def form(parts: list[Column]) -> Column:
+        whole, squares = total(parts), total([v * v for v in parts])
+        return F.when(whole == 0, F.lit(0.0)).otherwise((whole * whole - squares) / (whole * whole))
+
+    if purchases is None:
+        return form(values)
+    exact = [v * F.col(purchases) for v in values]
+    counts = [F.round(v) for v in exact]
+    off = reduce(F.greatest, [F.abs(v - k) for v, k in zip(exact, counts)]) if len(exact) > 1 else F.abs(exact[0] - counts[0])
+    return F.when(off < 1e-6, form(counts)).otherwise(form(values))
 
 
 def add_diversity(df: DataFrame) -> DataFrame:
@@ -43,7 +55,7 @@ def add_diversity(df: DataFrame) -> DataFrame:
     if products:
         added["product_diversity"] = total([F.col(c) for c in products])
         added["product_categories"] = total([(F.col(c) > 0).cast("int") for c in products])
-        added["product_gini"] = gini_simpson(products)
+        added["product_gini"] = gini_simpson(products, "frequency" if has(df, "frequency") else None)
     stores = _shares(df, "location_")
     if stores:
         added["location_loyalty"] = reduce(F.greatest, [F.col(c) for c in stores])

@@ -47,8 +47,8 @@ LEAKS = {
 
 
 def fit_target(df: DataFrame, category: str = categories.CATEGORY) -> dict[str, int]:
-    """Class of each category present (there are at most a handful)."""
-    present = {row[0] for row in df.select(category).distinct().limit(CLASS_LIMIT).collect()} - {None}
+    """Class of each category present; more than ``CLASS_LIMIT`` categories are an error."""
+    present = set(class_counts(df, category))
     if present == set(EXTREMES):
         return dict(EXTREMES)
     if len(present) <= 2:
@@ -387,20 +387,21 @@ def category_shares(n: int) -> list[float]:
 def rebalance(
     df: DataFrame, method: str = "none", label: str = "loyalty_target", score: str = categories.SCORE,
     features: list[str] | None = None, seed: int = 42, n: int = 5,
-) -> tuple[DataFrame, str]:
-    """Balance the classes; returns the table and the name of its target column."""
+) -> tuple[DataFrame, str, dict[str, int] | None]:
+    """Balance the classes: the table, its target column, and the new category map if the target was re-cut."""
     if method == "none":
-        return df, label
+        return df, label, None
     if method in ("boundary", "optimize_boundaries", "combine"):
         counts = class_counts(df, label)
         if method != "combine" and max(counts.values()) / min(counts.values()) <= 3:
-            return df, label
+            return df, label, None
         bounds = categories.optimise_boundaries(df, category_shares(n), score)
         recut = categories.categorise(df, bounds, score, "balanced_category")
         recut = add_target(recut, FIVE_TO_FOUR, "balanced_category", "balanced_target")
         if method != "combine":
-            return recut, "balanced_target"
-        return smote(recut, "balanced_target", features or model_features(recut), seed=seed), "balanced_target"
+            return recut, "balanced_target", dict(FIVE_TO_FOUR)
+        made = smote(recut, "balanced_target", features or model_features(recut), seed=seed)
+        return made, "balanced_target", dict(FIVE_TO_FOUR)
     if method == "sampling":
-        return smote_tomek(df, label, features or model_features(df, label), seed=seed), label
-    return resample(df, label, method, features or model_features(df, label), seed), label
+        return smote_tomek(df, label, features or model_features(df, label), seed=seed), label, None
+    return resample(df, label, method, features or model_features(df, label), seed), label, None

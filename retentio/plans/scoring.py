@@ -115,6 +115,24 @@ def profile_rfm(df: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def training_units(df: DataFrame, scaler: Scaler | None) -> DataFrame:
+    """Profile money in the units the model was trained in; counts and rates stay as they are.
+
+    Training scales purchase amounts and then sums or averages them, so every amount of a
+    profile is scaled with the range of ``amount``; bonuses have ranges of their own.
+    """
+    if scaler is None:
+        return df
+    ranges = {"amount": "amount", "avg_check": "amount", "avg_purchase": "amount", "bonus_earned": "bonus_earned", "bonus_spent": "bonus_spent"}
+    return df.withColumns(
+        {
+            c: F.when(F.col(c).isNotNull(), (F.col(c) - scaler.shift[r]) / scaler.width[r] if scaler.width[r] else F.lit(0.0))
+            for c, r in ranges.items()
+            if has(df, c) and r in scaler.shift
+        }
+    )
+
+
 def profile_features(df: DataFrame) -> DataFrame:
     """Features derived from a profile; one purchase known means no spread."""
     span = F.lit(None).cast("long")
@@ -201,9 +219,7 @@ def scored_rows(df: DataFrame, bundle: Bundle) -> DataFrame:
 
 def score_profiles(raw: DataFrame, bundle: Bundle, as_of: str | None = None) -> DataFrame:
     """Score uploaded profile rows. The analysis date is explicit; default today."""
-    df = standardise_input(raw)
-    if bundle.scaler is not None:
-        df = bundle.scaler.apply(df)
+    df = training_units(standardise_input(raw), bundle.scaler)
     now = F.to_timestamp(F.lit(as_of)) if as_of else F.current_timestamp()
     df = profile_features(profile_rfm(encode_input(df, bundle.encoder), now))
     return scored_rows(add_learned(df, bundle.loyalty.clustering, bundle.loyalty.projection), bundle)

@@ -123,8 +123,8 @@ def prepare_model_data(
     methods: tuple[str, ...] = ("correlation", "model_based", "permutation", "shap"), repeats: int = 10, draws: int = 4,
 ) -> ModelData:
     """Balance, rank and select features, split with exact class shares."""
-    names = sampling.class_names(target)
-    balanced, label = sampling.rebalance(loyalty, balance, seed=seed)
+    balanced, label, recut = sampling.rebalance(loyalty, balance, seed=seed)
+    names = sampling.class_names(recut or target)
     features = sampling.model_features(balanced, label)
     keep = [c for c in ("client_id", "is_synthetic", "last_ts") if has(balanced, c)]
     numbers = fill_means(balanced.filter(F.col(label).isNotNull()), features).select(*keep, label, *features)

@@ -129,7 +129,7 @@ def test_nearest_neighbours_against_brute_force(spark, monkeypatch, cell_rows):
 
 def test_rebalance_methods(points):
     scored = points.withColumn("loyalty_score", (F.col("a") - F.lit(-5)) / 12)
-    df, label = sampling.rebalance(scored, "boundary", "y")
+    df, label, recut = sampling.rebalance(scored, "boundary", "y")
     assert label == "balanced_target" and df.select(label).distinct().count() == 4
     assert sampling.rebalance(scored, "none", "y")[0] is scored
     with pytest.raises(ValueError):
