@@ -187,8 +187,10 @@ def _fill(taken: DataFrame, max_repeats: int, rounds: int) -> DataFrame:
             (F.max("target") - F.sum(F.col("size") * (F.col("_passes") + F.col("_extra")))).alias("_room")
         )
         open_to = taken.filter((F.col("size") > 0) & (F.col("_passes") + F.col("_extra") < max_repeats))
+        # one row per source and size before sources meet, so that a large source stays spread
         best = (
-            open_to.select(*key, "size", "_upto")
+            open_to.groupBy(*key, "size")
+            .agg(F.max("_upto").alias("_upto"))
             .join(room, ["_none", "_name"])
             .filter(F.col("size") <= F.col("_room"))
             .groupBy("_none", "_name")
