@@ -168,7 +168,8 @@ def pivot_validation(comparison: DataFrame) -> DataFrame:
     )
 
 
-# Search ranges, limited to parameters Spark ML has.
+# Search ranges, limited to parameters Spark ML has. Penalties are for a loss summed
+# over the rows, as the ranges were given; ``on_mean_loss`` turns them into Spark's.
 GRIDS = {
     "logistic_regression": {"regParam": [10.0, 1.0, 0.1, 0.01, 0.001], "elasticNetParam": [0.0, 1.0]},
     "random_forest": {
@@ -236,14 +237,23 @@ def draws(space: dict, n: int, seed: int = 42) -> list[dict]:
     return [{name: one(choice) for name, choice in space.items()} for _ in range(n)]
 
 
+def on_mean_loss(params: dict, rows: float) -> dict:
+    """Spark's penalty belongs to the mean loss: a penalty on the summed loss is divided by the rows."""
+    return {name: value / max(rows, 1) if name == "regParam" else value for name, value in params.items()}
+
+
 def search(spec: Spec, df: DataFrame, candidates: list[dict], k: int = 5, metric: str = "f1_macro", seed: int = 42, parallelism: int = 2) -> tuple[dict, float, list[dict]]:
-    """Mean stratified cross-validation score of every candidate; the first best one wins."""
+    """Mean stratified cross-validation score of every candidate; the first best one wins.
+
+    The winner comes back ready to fit on all rows; the table keeps candidates as given.
+    """
+    n = df.count()
     folded = folds(df, "label", k, seed)
     parts = [(folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i)) for i in range(k)]
 
     def run(job):
         c, i = job
-        model = spec.with_params(**candidates[c]).fit(parts[i][0])
+        model = spec.with_params(**on_mean_loss(candidates[c], n * (k - 1) / k)).fit(parts[i][0])
         return c, metric_values(model.transform(parts[i][1]))[metric]
 
     jobs = [(c, i) for c in range(len(candidates)) for i in range(k)]
@@ -254,7 +264,7 @@ def search(spec: Spec, df: DataFrame, candidates: list[dict], k: int = 5, metric
         values = [s for j, s in scores if j == c]
         rows.append({"params": params, "score": fmean(values), "std": pstdev(values)})
     best = max(rows, key=lambda r: r["score"])
-    return best["params"], best["score"], rows
+    return on_mean_loss(best["params"], n), best["score"], rows
 
 
 def search_table(spark: SparkSession, model: str, rows: list[dict]) -> DataFrame:
