@@ -34,7 +34,7 @@ class Encoder:
 
     @property
     def store_columns(self) -> list[str]:
-        return [store_column(s) for s in self.top_stores] + ["location_other"]
+        return [*named_stores(self.top_stores).values(), "location_other"]
 
     @property
     def product_columns(self) -> list[str]:
@@ -64,9 +64,21 @@ def label_code(column: Column, codes: dict[str, int]) -> Column:
 
 
 def store_column(name: str) -> str:
+    # fixed values: the characters that become _ or vanish in a store's column
     return "location_" + name.replace(" ", "_").replace(",", "").replace(".", "").replace("/", "_")
 
 
+def named_stores(stores: list[str]) -> dict[str, str]:
+    """Column of each store; stores whose names come out alike (or as "other") are numbered."""
+    names: dict[str, str] = {}
+    for store in stores:
+        name, k = store_column(store), 2
+        while name in names.values() or name == "location_other":
+            name, k = f"{store_column(store)}_{k}", k + 1
+        names[store] = name
+    return names
+
+
 def product_column(name: str) -> str:
     return f"product_{name}"
 
@@ -97,8 +109,8 @@ def apply_encoder(df: DataFrame, encoder: Encoder) -> DataFrame:
         added["gender_code"] = label_code(F.col("gender"), encoder.gender_codes)
     if "store" in df.columns:
         store = F.coalesce(F.col("store"), F.lit(""))
-        for s in encoder.top_stores:
-            added[store_column(s)] = (store == s).cast("int")
+        for s, name in named_stores(encoder.top_stores).items():
+            added[name] = (store == s).cast("int")
         added["location_other"] = (~store.isin(encoder.top_stores)).cast("int")
     if "product_name" in df.columns:
         category = product_category(F.col("product_name"), encoder.product_rules)

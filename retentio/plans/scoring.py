@@ -11,7 +11,7 @@ from retentio import schema
 from retentio.functions.columns import has, parse_timestamp, whole_days
 from retentio.models import classifiers
 from retentio.operators.clusters import Clustering, Projection
-from retentio.operators.encode import Encoder, label_code, store_column, to_number
+from retentio.operators.encode import Encoder, label_code, named_stores, to_number
 from retentio.operators.impute import fill_placeholders
 from retentio.operators.loyalty import add_features
 from retentio.operators.scaling import Scaler
@@ -187,7 +187,7 @@ def encode_input(df: DataFrame, encoder: Encoder) -> DataFrame:
     """Gender code and store flags from the fitted lists; unknown stores count as other."""
     gender = label_code(F.col("gender"), encoder.gender_codes) if has(df, "gender") else F.lit(0)
     store = F.coalesce(F.col("store").cast("string"), F.lit("")) if has(df, "store") else F.lit("")
-    flags = {store_column(s): (store == s).cast("int") for s in encoder.top_stores}
+    flags = {name: (store == s).cast("int") for s, name in named_stores(encoder.top_stores).items()}
     return df.withColumns({"gender_code": gender, **flags, "location_other": (~store.isin(encoder.top_stores)).cast("int")})
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from retentio.models import classifiers
-from retentio.operators import sampling
+from retentio.operators import encode, sampling
 from retentio.operators.customers import decoded, earliest_code
 from retentio.operators.scaling import Scaler
 from retentio.plans import scoring
@@ -33,3 +33,10 @@ def test_profile_money_is_scaled_like_purchases(spark):
     raw = spark.createDataFrame([(1, 1100.0, 600.0, 2.0, 25.0)], "client_id int, amount double, avg_check double, freq_per_month double, bonus_earned double")
     row = scoring.profile_rfm(scoring.training_units(raw, scaler), F.lit("2024-01-01").cast("timestamp")).first()
     assert (row.frequency, row.avg_purchase, row.monetary, row.bonus_earned) == (2.0, 0.5, 1.0, 0.5)
+
+
+def test_stores_with_like_names_keep_their_columns(spark):
+    stores = ["a.b", "ab", "other", "a,b"]
+    assert encode.named_stores(stores) == {"a.b": "location_ab", "ab": "location_ab_2", "other": "location_other_2", "a,b": "location_ab_3"}
+    flags = encode.apply_encoder(spark.createDataFrame([(s,) for s in [*stores, "new"]], "store string"), encode.Encoder(top_stores=stores))
+    assert [sum(row[1:]) for row in flags.collect()] == [1] * 5
