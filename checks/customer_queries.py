@@ -251,6 +251,35 @@ def kmeans_clusters(spark, folder):
     return fitted.apply(df).groupBy("cluster", "cluster_segment").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("kmeans_fixed_point", ["feat"], "SELECT count(*) AS customers, 5::BIGINT AS clusters, 0::BIGINT AS centres_off FROM feat")
+def kmeans_fixed_point(spark, folder):
+    """Ten starts run to the end: every customer has a cluster, every centre is the mean of its members."""
+    df = stages.features(spark, folder)
+    fitted = clusters.fit_clusters(df, k=5)
+    placed = fitted.apply(df)
+    means = [F.avg(v).alias(f"m{i}") for i, v in enumerate(fitted.standardiser.values())]
+    rows = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *means)
+    off = F.lit(False)
+    for c, centre in enumerate(fitted.centres):
+        for i, x in enumerate(centre):
+            off = off | ((F.col("cluster") == c) & (F.abs(F.col(f"m{i}") - F.lit(float(x))) > 0.05))
+    return rows.agg(
+        F.sum("n").alias("customers"), F.count(F.lit(1)).alias("clusters"), F.count_if(off).alias("centres_off")
+    )
+
+
+@query("component_correlations", ["feat"], "SELECT count(*) AS customers, 0::BIGINT AS correlated, true AS falling FROM feat")
+def component_correlations(spark, folder):
+    """Components are uncorrelated and their variances fall."""
+    df = stages.features(spark, folder)
+    made = clusters.fit_projection(df).apply(df)
+    a, b, c = (F.col(f"pca_component_{i}") for i in (1, 2, 3))
+    pairs = [F.abs(F.corr(x, y)) > 1e-6 for x, y in ((a, b), (a, c), (b, c))]
+    count = sum((p.cast("long") for p in pairs[1:]), pairs[0].cast("long"))
+    falling = (F.var_pop(a) >= F.var_pop(b)) & (F.var_pop(b) >= F.var_pop(c))
+    return made.agg(F.count(F.lit(1)).alias("customers"), count.alias("correlated"), falling.alias("falling"))
+
+
 @query("kmeans_choice_of_k")
 def kmeans_choice_of_k(spark, folder):
     df = stages.features(spark, folder)

@@ -625,6 +625,25 @@ def profile_scoring(spark, folder):
     return scored.select("client_id", "segment_id", "segment_name", F.to_json("probabilities").alias("probabilities"))
 
 
+@query(
+    "profile_scoring_sums",
+    ["tx"],
+    "SELECT count(DISTINCT client_id) AS profiles, 0::BIGINT AS sums_off, 0::BIGINT AS not_the_largest FROM tx WHERE client_id IS NOT NULL",
+)
+def profile_scoring_sums(spark, folder):
+    """Probabilities of a scored profile sum to one, and its segment has the largest."""
+    bundle, _ = _bundle(spark, folder)
+    scored = scoring.score_profiles(_profiles(spark, folder), bundle, "2001-08-01")
+    chances = F.map_values("probabilities")
+    total = F.aggregate(chances, F.lit(0.0), lambda s, v: s + v)
+    own = F.try_element_at("probabilities", F.col("segment_name"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("profiles"),
+        F.count_if(F.abs(total - 1) > 1e-3).alias("sums_off"),
+        F.count_if(F.coalesce(own, F.lit(-1.0)) < F.array_max(chances)).alias("not_the_largest"),
+    )
+
+
 @query("segment_distribution")
 def segment_distribution(spark, folder):
     bundle, _ = _bundle(spark, folder)
