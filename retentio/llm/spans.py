@@ -179,7 +179,10 @@ def repeated_paths(rows: DataFrame, window: int, text: str = "text") -> DataFram
     per_minimiser = everything.groupBy("minimiser").agg(
         F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")
     )
-    seen_again = per_minimiser.filter("n > 1").select("minimiser", (F.col("low") != F.col("high")).alias("branches"))
+    # written, so that the join deals out its own sides and can split a very frequent minimiser
+    seen_again = materialize(
+        per_minimiser.filter("n > 1").select("minimiser", (F.col("low") != F.col("high")).alias("branches")), "minimisers"
+    )
     candidates = materialize(everything.join(seen_again, "minimiser"), "paths")
     straight = candidates.filter("NOT branches").select(*KEY, "start", "edges")
     branching = candidates.filter("branches")
@@ -192,7 +195,7 @@ def repeated_paths(rows: DataFrame, window: int, text: str = "text") -> DataFram
     opened = counted.select("at.*").groupBy(*KEY).agg(F.collect_list(F.struct("start", "edges")).alias("_spans"))
     texts = _packed(rows.select(*KEY, F.col(text).cast("string").alias("text")), "text")
     edges = materialize(_edges_of(texts.join(opened, KEY), window), "edges")
-    met = edges.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    met = materialize(edges.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "met")
     single = edges.join(met, ["first", "second"]).select(*KEY, "start", F.lit(1).alias("edges"))
     return straight.union(whole.select(*KEY, "start", "edges")).union(single)
 
