@@ -7,9 +7,11 @@ inverting the demand gives the document its training position, and a range sort
 gives the training order. Where the target exceeds the source, the source is read again, at
 most ``max_repeats`` times; where it is smaller, the documents past the demand are not taken.
 
-Documents are taken whole: a pass over a document counts if it ends within the target. What a
-source then lacks is less than one document; ``fillers`` times it goes to the largest document
-of the source that fits, read once more at the end of training.
+Documents are taken whole. A document that does not fit into what its source still lacks is
+skipped and the reading goes on behind it, so in the end a source lacks less than its smallest
+document that is not used up. With ``fillers`` the reading stops at the first document that
+crosses the target instead, and so many times the largest document that fits is read once more
+at the end of training; what lacks is then not bounded (one long document can be most of it).
 
 Defined results: a null source is a source of its own, ordered last; a null text has no
 tokens; documents without tokens keep a position (their place in the source's order) and take
@@ -29,6 +31,7 @@ from retentio.operators.ranking import running_total, with_row_index
 from retentio.session import materialize
 
 SPACE = r"[ \t-\r]+"
+IN_ORDER = 4  # rounds that go on in the seeded order; later ones go from large to small
 
 
 @dataclass(frozen=True)
@@ -120,7 +123,7 @@ def plan(
     weights: tuple[float, ...],
     schedules: tuple[Schedule, ...],
     max_repeats: int = 3,
-    fillers: int = 2,
+    fillers: int | None = None,
     seed: int = 29,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -129,7 +132,8 @@ def plan(
     """One narrow row per document: doc_id, text_crc32, size, source, source_size, target, taken, positions.
 
     ``schedules`` go with ``weights``, one each. The running token counts inside a source are
-    sums over range slices, so a source of any size is spread over many tasks.
+    sums over range slices, so a source of any size is spread over many tasks. ``fillers`` is
+    None to skip what does not fit, or a number of single documents after the first that crosses.
     """
     narrow = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -143,21 +147,14 @@ def plan(
     keyed = narrow.withColumn("_none", F.col("source").isNull().cast("int")).withColumn(
         "source", F.coalesce("source", F.lit(""))
     )
-    summed = running_total(keyed, order, {"_upto": "size"}, ["_none", "source"])
-    named = summed.withColumn("source", F.when(F.col("_none") == 0, F.col("source")))
     wanted = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
-    joined = named.join(wanted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    ends = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda i: i * F.col("source_size") + F.col("_upto"))
-    whole = joined.withColumn("_passes", F.size(F.filter(ends, lambda e: e <= F.col("target"))).cast("long"))
-    filled = _fill(whole.withColumn("_extra", F.lit(0).cast("long")), max_repeats, fillers)
+    if fillers is None:
+        filled = _skipping(keyed, wanted, order, max_repeats)
+    else:
+        filled = _stopping(keyed, wanted, order, max_repeats, fillers)
 
     def times(schedule: Schedule) -> Column:
-        regular = F.slice(ends, 1, F.col("_passes").cast("int"))
-        demand = F.concat(
-            F.transform(regular, lambda e: (e - F.col("size") / F.lit(2.0)) / F.col("target")),
-            F.array_repeat(F.lit(1.0), F.col("_extra").cast("int")),
-        )
-        return F.transform(demand, lambda d: invert(schedule, d))
+        return F.transform("_demand", lambda d: invert(schedule, d))
 
     position = None
     for i, schedule in enumerate(schedules):
@@ -170,11 +167,100 @@ def plan(
         "source",
         "source_size",
         "target",
-        (F.col("size") * (F.col("_passes") + F.col("_extra"))).cast("long").alias("taken"),
+        (F.col("size") * F.size("_demand")).cast("long").alias("taken"),
         position.alias("positions"),
     )
 
 
+def _stopping(keyed: DataFrame, wanted: DataFrame, order: list, max_repeats: int, fillers: int) -> DataFrame:
+    """Adds source facts and ``_demand``, the share of the target at each pass; nothing after the crossing document."""
+    summed = running_total(keyed, order, {"_upto": "size"}, ["_none", "source"])
+    named = summed.withColumn("source", F.when(F.col("_none") == 0, F.col("source")))
+    joined = named.join(wanted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    ends = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda i: i * F.col("source_size") + F.col("_upto"))
+    whole = joined.withColumn("_passes", F.size(F.filter(ends, lambda e: e <= F.col("target"))).cast("long"))
+    filled = _fill(whole.withColumn("_extra", F.lit(0).cast("long")), max_repeats, fillers)
+    regular = F.slice(ends, 1, F.col("_passes").cast("int"))
+    demand = F.concat(
+        F.transform(regular, _share),
+        F.array_repeat(F.lit(1.0), F.col("_extra").cast("int")),
+    )
+    return filled.withColumn("_demand", demand)
+
+
+def _skipping(keyed: DataFrame, wanted: DataFrame, order: list, max_repeats: int) -> DataFrame:
+    """Adds source facts and ``_demand``; a document that does not fit is skipped and the reading goes on.
+
+    A round sets aside the documents longer than the room of their source (for good, as room
+    only shrinks), runs the totals over the others and takes what ends within the room. The
+    first of them always fits, and after ``IN_ORDER`` rounds they are read from large to small,
+    each as often as it may be: what is then taken is at least half of the room, or all there
+    is, so the number of rounds grows with the logarithm of the room. A round only reads and
+    writes documents that still fit.
+    """
+    key = ["_none", "source"]
+    facts = wanted.withColumn("_none", F.col("source").isNull().cast("int")).withColumn(
+        "source", F.coalesce("source", F.lit(""))
+    )
+    now = keyed.join(facts, key).select(
+        *keyed.columns, "source_size", "weight_class", "target", F.lit(0).cast("long").alias("_before"),
+        F.array().cast("array<double>").alias("_demand"),
+    )
+    now = materialize(now, "unread")
+    fits = (F.col("_before") + F.col("size") <= F.col("target")) & (F.size("_demand") < max_repeats)
+    done, left, rounds = now.filter(~fits), now.filter(fits), 0
+    while not left.isEmpty():
+        taken = _in_passes(left, key, order, max_repeats) if rounds < IN_ORDER else _by_size(left, key, order, max_repeats)
+        taken = materialize(taken, "taken")
+        used = materialize(taken.groupBy(*key).agg(F.sum(F.col("size") * F.col("_added")).alias("_used")), "used")
+        now = taken.join(used, key).withColumn("_before", F.col("_before") + F.col("_used")).select(*now.columns)
+        rest = fits & (F.col("size") > 0)
+        done, left, rounds = done.unionByName(now.filter(~rest)), now.filter(rest), rounds + 1
+    return done.withColumn("source", F.when(F.col("_none") == 0, F.col("source")))
+
+
+def _share(end: Column) -> Column:
+    """Share of the target that is read at the middle of a document; a target of zero has only documents without tokens."""
+    return F.when(F.col("target") > 0, (end - F.col("size") / F.lit(2.0)) / F.col("target")).otherwise(F.lit(0.0))
+
+
+def _in_passes(left: DataFrame, key: list, order: list, max_repeats: int) -> DataFrame:
+    """One round in the seeded order: those read least often come first, then the next pass over all."""
+    passes = range(max_repeats)
+    sized = left.select(
+        "*", *[F.when(F.size("_demand") <= a, F.col("size")).otherwise(F.lit(0)).cast("long").alias(f"_s{a}") for a in passes]
+    )
+    summed = materialize(running_total(sized, order, {f"_u{a}": f"_s{a}" for a in passes}, key), "passes")
+    totals = summed.groupBy(*key).agg(*[F.sum(f"_s{a}").alias(f"_t{a}") for a in passes])
+    ends = [
+        F.when(F.size("_demand") <= a, sum([F.col(f"_t{b}") for b in range(a)], F.col("_before")) + F.col(f"_u{a}"))
+        for a in passes
+    ]
+    within = F.filter(F.array(*ends), lambda e: e <= F.col("target"))
+    shares = F.transform(within, _share)
+    return summed.join(totals, key).select(
+        *[F.concat("_demand", shares).alias(c) if c == "_demand" else c for c in left.columns], F.size(within).alias("_added")
+    )
+
+
+def _by_size(left: DataFrame, key: list, order: list, max_repeats: int) -> DataFrame:
+    """One round from large to small, each document as often as it may still be read."""
+    allowed = F.lit(max_repeats) - F.size("_demand")
+    summed = running_total(
+        left.select("*", (F.col("size") * allowed).cast("long").alias("_all"), (-F.col("size")).alias("_small")),
+        ["_small", *order],
+        {"_upto": "_all"},
+        key,
+    )
+    begin = F.col("_before") + F.col("_upto") - F.col("_all")
+    ends = F.transform(F.sequence(F.lit(1), allowed), lambda i: begin + i * F.col("size"))
+    within = F.filter(ends, lambda e: e <= F.col("target"))
+    shares = F.transform(within, _share)
+    return summed.select(
+        *[F.concat("_demand", shares).alias(c) if c == "_demand" else c for c in left.columns], F.size(within).alias("_added")
+    )
+
+
 def _fill(taken: DataFrame, max_repeats: int, rounds: int) -> DataFrame:
     """Each round gives what a source still lacks to its largest document that fits in whole.
 

@@ -33,11 +33,12 @@ CURRICULUM = (  # heavy sources fade, light ones grow towards the end of trainin
     mixing.Schedule((0.0, 0.5, 1.0), (0.6, 1.0, 1.4)),
 )
 MAX_REPEATS = 3
+FILLERS = 2  # as in the SQL; the pipeline skips what does not fit instead
 
 
 @query
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
-    planned = mixing.plan(table(spark, folder, "documents"), WEIGHTS, CURRICULUM, MAX_REPEATS)
+    planned = mixing.plan(table(spark, folder, "documents"), WEIGHTS, CURRICULUM, MAX_REPEATS, FILLERS)
     ordered = mixing.in_order(planned)
     return ordered.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 

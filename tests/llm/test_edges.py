@@ -77,6 +77,33 @@ def test_mixing_follows_the_schedule(spark):
     assert abs(found[found.source == "b"].p.median() - 0.5**0.5) < 0.01
 
 
+def test_mixing_skips_what_does_not_fit(spark):
+    import hashlib as h
+    import random
+
+    ids = sorted(range(400), key=lambda i: (h.md5(f"29|{i}".encode()).hexdigest()[:15], i))
+    # "a": a document longer than the target comes first; "b": uneven sizes; "c": no tokens; "d": takes the rest
+    r = random.Random(3)
+    sizes = {i: ("a", 1000 if k == 0 else 10) for k, i in enumerate(ids[:51])}
+    sizes |= {i: ("b", int(2 ** (r.random() * 9))) for i in ids[51:151]}
+    sizes |= {i: ("c", 0) for i in ids[151:153]} | {i: ("d", 12) for i in ids[153:]}
+    rows_ = [(i, "w " * n, s) for i, (s, n) in sizes.items()]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(3)
+    flat = mixing.Schedule((0.0, 1.0), (1.0, 1.0))
+    found = mixing.plan(d, (0.4, 3.5, 1.0, 4.0), (flat,) * 4).toPandas()
+    assert sorted(found.doc_id) == sorted(sizes)
+    assert (found.taken == found["size"] * found.positions.map(len)).all() and found.positions.map(len).max() <= 3
+    for source, part in found.groupby("source"):
+        room = part.target.iloc[0] - part.taken.sum()
+        open_to = part[(part["size"] > 0) & (part.positions.map(len) < 3)]
+        assert room >= 0 and (open_to["size"] > room).all(), source
+        # no tokens are demanded twice: with a flat schedule passes lie apart by half of each size
+        spans_ = sorted((p * part.target.iloc[0], n) for ps, n in zip(part.positions, part["size"]) for p in ps if n)
+        assert all(y - x >= (m + n) / 2 - 1e-6 for (x, m), (y, n) in zip(spans_, spans_[1:])), source
+    a = found[found.source == "a"]
+    assert a.target.iloc[0] < 1000 and a.target.iloc[0] - a.taken.sum() < 10 and a.taken.sum() > 400
+
+
 def test_shards(docs, none):
     found = shards.manifest(docs, 40, ["doc_id"]).toPandas()
     assert len(found) == len(rows())
