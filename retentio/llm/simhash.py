@@ -64,17 +64,25 @@ def fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of every row; a map over Arrow batches, nothing is shuffled."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fingerprint", T.LongType())])
+def fingerprints(
+    docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text", hashed: bool = False
+) -> DataFrame:
+    """(doc_id, fingerprint) of every row; a map over Arrow batches, nothing is shuffled.
+
+    With ``hashed``, ``text_hash`` (64 bits) comes with them and names the text of a row.
+    """
+    kept = ["doc_id", *(["text_hash"] if hashed else [])]
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if hashed:
+        narrow = narrow.withColumn("text_hash", F.xxhash64("text"))
+    schema = T.StructType([*[narrow.schema[c] for c in kept], T.StructField("fingerprint", T.LongType())])
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fingerprints_of(texts, shingle))], names=["doc_id", "fingerprint"]
+                [*[batch.column(c) for c in kept], pa.array(fingerprints_of(texts, shingle))], names=[*kept, "fingerprint"]
             )
 
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return bounded_batches(narrow).mapInArrow(run, schema)
 
 
@@ -117,13 +125,16 @@ def links(prints: DataFrame, max_bits: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int, max_bits: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
     printed = materialize(fingerprints(docs, shingle, doc_id, text), "simhash")
+    return _in_components(printed, max_bits).select("doc_id", "fingerprint", "component_id")
+
+
+def _in_components(printed: DataFrame, max_bits: int) -> DataFrame:
+    """Adds ``root`` (a fingerprint, which names the component) and ``component_id`` (its least id)."""
     distinct = materialize(printed.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("least")), "prints")
     roots = components(links(distinct, max_bits))
     rooted = distinct.join(roots, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return printed.join(named.select(F.col("f").alias("fingerprint"), "component_id"), "fingerprint").select(
-        "doc_id", "fingerprint", "component_id"
-    )
+    return printed.join(named.select(F.col("f").alias("fingerprint"), "root", "component_id"), "fingerprint")
 
 
 def hexadecimal(fingerprint: Column) -> Column:
@@ -134,16 +145,30 @@ def hexadecimal(fingerprint: Column) -> Column:
 def deduplicated(docs: DataFrame, shingle: int, max_bits: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One whole row of each component: the row with the smallest id.
 
-    Only ids of dropped rows are joined with the documents. Where ids repeat or are null, rows
-    with the same id and text are one document, of which one row stays; different texts that
-    share the kept id (or have none) all stay, as no id tells them apart.
+    Rows are told apart by id and text (a 64-bit hash), not by id alone: an id may repeat with
+    different texts, in one component or several, or be null. Among the texts of the smallest id
+    in a component the one with the least text hash stays; rows equal in id and text are one
+    document, of which one row stays. Only keys of dropped rows are joined with the documents.
     """
-    found = materialize(near_duplicates(docs, shingle, max_bits, doc_id, text), "components")
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    kept = docs.join(dropped, doc_id, "left_anti")
-    again = materialize(found.groupBy(F.col("doc_id").alias("again")).count().filter("count > 1 OR again IS NULL"), "again")
+    printed = materialize(fingerprints(docs, shingle, doc_id, text, hashed=True), "simhash")
+    found = materialize(
+        _in_components(printed, max_bits)
+        .groupBy("doc_id", "text_hash", "root", "component_id")
+        .agg(F.count(F.lit(1)).alias("copies")),
+        "components",
+    )
+    # null ids are smallest only where a component has no others; only rows of the smallest id meet by component
+    smallest = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    least = found.filter(smallest).groupBy("root").agg(F.min("text_hash").alias("kept"))
+    first = found.filter(smallest).join(least, "root").withColumn("stays", F.col("text_hash") == F.col("kept"))
+    both = first.drop("kept").unionByName(found.filter(~smallest).withColumn("stays", F.lit(False)))
+    key = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    marked = materialize(both.select(*key, "copies", "stays"), "marked")
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text).cast("string")))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    kept = hashed.join(marked.filter(~F.col("stays")).select("_id", "_hash"), same, "left_anti")
+    again = marked.filter(F.col("stays") & (F.col("copies") > 1)).select("_id", "_hash")
     if again.isEmpty():
-        return kept
-    same = F.col(doc_id).eqNullSafe(F.col("again"))
-    several = kept.join(again.select("again"), same, "left_semi").dropDuplicates([doc_id, text])
-    return kept.join(again.select("again"), same, "left_anti").unionByName(several)
+        return kept.select(*docs.columns)
+    several = kept.join(again, same, "left_semi").dropDuplicates([doc_id, "_text_hash"])
+    return kept.join(again, same, "left_anti").unionByName(several).select(*docs.columns)

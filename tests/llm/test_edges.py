@@ -273,6 +273,27 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none, 3, 2).count() == 0 and simhash.deduplicated(none, 3, 2).count() == 0
 
 
+def test_simhash_decides_per_row(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    near_y, near_z = y.upper(), z.replace(" ", "  ")  # other texts with the same fingerprint
+    rows_ = [
+        (5, x, "5x"),  # alone in its component
+        (5, near_y, "5y"),  # a near copy of 3 under the same id
+        (3, y, "3y"),
+        (None, z, "z1"),  # near copies without ids
+        (None, near_z, "z2"),
+        (None, z, "z1"),
+        (None, near_y + " ", "no id"),  # never stays where there is an id
+        (7, "seven " + PASSAGE, "a"),  # two texts of the least id in one component
+        (7, ("seven " + PASSAGE).upper(), "b"),
+    ]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, label string")
+    kept = simhash.deduplicated(d, 3, 2)
+    assert kept.columns == d.columns
+    found = Counter(r.label[0] if r.doc_id is None else (r.doc_id if r.doc_id == 7 else r.label) for r in kept.collect())
+    assert found == {"5x": 1, "3y": 1, "z": 1, 7: 1}
+
+
 @pytest.mark.parametrize("bits", [0, 1, 2, 3])
 def test_simhash_links_equal_brute_force(spark, bits):
     import random
