@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe, chats, hmm, mixing, quality, rules, shards, simhash, sketches, spans
+from retentio.llm import bpe, chats, hmm, mixing, quality, rules, shards, simhash, sketches, spans, topk
 from retentio.session import materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,26 @@ m AS (SELECT e.* FROM e ANTI JOIN (SELECT prefix FROM r WHERE position < n_turns
 SELECT r.conv_id, n_turns, copies, position, role,
   '<|im_start|>' || role || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS rendered
 FROM r JOIN m ON r.conv_id = m.conv_id"""
+
+
+# --- 13: exact top-k search ----------------------------------------------------------------
+
+TOP_K, QUERY_EVERY, SCALE = 10, 100, 1024
+
+
+@query
+def op13_norm_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", SCALE)
+    return topk.top_k(vectors, F.col("_id") % QUERY_EVERY == 0, TOP_K)
+
+
+SQL["op13_norm_topk"] = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))), false)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+    coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % {QUERY_EVERY} = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= {TOP_K}"""
