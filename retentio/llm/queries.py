@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe, chats, hmm, mixing, quality, rules, shards, simhash, sketches, spans, topk
+from retentio.llm import bpe, chats, hmm, mixing, quality, resample, rules, shards, simhash, sketches, spans, topk
 from retentio.session import materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,3 +251,16 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id,
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= {TOP_K}"""
+
+
+# --- 11: importance resampling -------------------------------------------------------------
+
+RESAMPLE_PERCENT, RESAMPLE_MIN_WORDS = 10, 20
+
+
+@query
+def op11_importance_resample(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resample.resample(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), RESAMPLE_PERCENT, RESAMPLE_MIN_WORDS
+    )
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
