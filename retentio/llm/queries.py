@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe, chats, hmm, mixing, quality, resample, rules, shards, simhash, sketches, spans, topk
+from retentio.llm import align, bpe, chats, hmm, mixing, quality, resample, rules, shards, simhash, sketches, spans, topk
 from retentio.session import materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,3 +264,11 @@ def op11_importance_resample(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "benchmark"), RESAMPLE_PERCENT, RESAMPLE_MIN_WORDS
     )
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# --- 12: cross-tokenizer alignment ---------------------------------------------------------
+
+
+@query
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.alignment_report(table(spark, folder, "documents"))
