@@ -14,6 +14,7 @@ from retentio.operators import importance as imp
 from retentio.operators import sampling
 from retentio.plans import scoring
 from retentio.plans.run import train_models
+from retentio.plans.serving import fit_serving
 from retentio.plans.stages import Loyalty, assemble, prepare_model_data
 from retentio.operators.clusters import fit_clusters, fit_projection
 from retentio.session import materialize, scratch_path
@@ -539,7 +540,8 @@ def _bundle(spark, folder) -> scoring.Bundle:
         table = assemble(fitted.apply(stages.rfm_customers(spark, folder)).select("client_id", "loyalty_target", *names), names, "loyalty_target")
         model = custom_spec("forest", numTrees=10, maxDepth=5).fit(table)
         cleaning = stages.cleaning(spark, folder)
-        made = scoring.Bundle("random_forest", model, names, sampling.class_names(sampling.EXTREMES), fitted, cleaning.encoder, cleaning.scaler)
+        _, served = fit_serving(cleaning, stages.customers(spark, folder))
+        made = scoring.Bundle("random_forest", model, names, sampling.class_names(sampling.EXTREMES), fitted, cleaning.encoder, cleaning.scaler, served)
         path = scratch_path(spark, "bundle")
         made.save(path)
         return scoring.Bundle.load(path), materialize(model.transform(table).select("client_id", "prediction"), "predicted")
@@ -556,6 +558,26 @@ def training_equals_serving(spark, folder):
     return both.agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.col("prediction") != F.col("segment_id")).alias("different"))
 
 
+@query(
+    "purchases_equal_training",
+    ["rfm"],
+    "SELECT count(*) AS customers, CAST(0 AS BIGINT) AS different, CAST(0 AS BIGINT) AS unmatched FROM rfm",
+)
+def purchases_equal_training(spark, folder):
+    """Raw purchase rows, gaps and outliers included, scored through the reloaded bundle: the
+    saved fills, fences, scaler, codes and RFM cuts give every customer its training class."""
+    bundle, predicted = _bundle(spark, folder)
+    served = scoring.score_purchases(stages.tx(spark, folder), bundle).select("client_id", "segment_id")
+    trained = predicted.select(F.col("client_id").cast("string").alias("client_id"), "prediction")
+    both = served.join(trained, "client_id", "full")
+    present = F.col("segment_id").isNotNull() & F.col("prediction").isNotNull()
+    return both.agg(
+        F.count_if(present).alias("customers"),
+        F.count_if(present & (F.col("prediction") != F.col("segment_id"))).alias("different"),
+        F.count_if(~present).alias("unmatched"),
+    )
+
+
 def _profiles(spark, folder):
     """Profile rows as a user would upload them: other headers, mixed formats, gaps."""
     last = F.date_format("last_check_date", "yyyy-MM-dd")

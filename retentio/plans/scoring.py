@@ -15,6 +15,7 @@ from retentio.operators.encode import Encoder, label_code, named_stores, to_numb
 from retentio.operators.impute import fill_placeholders
 from retentio.operators.loyalty import add_features
 from retentio.operators.scaling import Scaler
+from retentio.plans.serving import Serving, load_serving, save_serving
 from retentio.plans.stages import Loyalty, assemble, loyalty_as_dict, loyalty_from_dict
 from retentio.sources.files import path_exists, read_json_value, write_json_value
 
@@ -44,7 +45,11 @@ UNKNOWN_RECENCY = 365
 
 @dataclass
 class Bundle:
-    """A trained model with its feature list, class names, and fitted statistics."""
+    """A trained model with its feature list, class names, and fitted statistics.
+
+    ``serving`` (optional) holds the fitted cleaning and RFM passes, which new purchase rows
+    need (:func:`score_purchases`); profiles and customer tables do without.
+    """
 
     name: str
     model: classifiers.Fitted
@@ -53,6 +58,7 @@ class Bundle:
     loyalty: Loyalty
     encoder: Encoder
     scaler: Scaler | None
+    serving: Serving | None = None
 
     def save(self, path: str) -> None:
         self.model.save(f"{path}/model")
@@ -65,6 +71,8 @@ class Bundle:
             "scaler": asdict(self.scaler) if self.scaler else None,
         }
         write_json_value(about, f"{path}/bundle")
+        if self.serving is not None:
+            save_serving(self.serving, f"{path}/serving")
 
     @staticmethod
     def load(path: str) -> "Bundle":
@@ -80,6 +88,7 @@ class Bundle:
             loyalty_from_dict(about["loyalty"]),
             Encoder(**about["encoder"]),
             Scaler(**about["scaler"]) if about["scaler"] else None,
+            load_serving(SparkSession.active(), f"{path}/serving"),
         )
 
 
@@ -231,5 +240,19 @@ def score_customers(customers: DataFrame, bundle: Bundle) -> DataFrame:
     return scored_rows(add_learned(featured, bundle.loyalty.clustering, bundle.loyalty.projection), bundle)
 
 
+def score_purchases(transactions: DataFrame, bundle: Bundle, as_of: str | None = None) -> DataFrame:
+    """Score new raw purchase rows with what training fitted, refitting nothing.
+
+    Rows pass the saved fills (per-customer medians by a join, then global medians and
+    modes), fences, scaler and codes, are aggregated per customer, scored by the saved RFM
+    cuts (customers that training would have dropped as incomplete are dropped here too) and
+    then scored like a customer table. Recency counts to the training date unless ``as_of``
+    is given.
+    """
+    if bundle.serving is None:
+        raise ValueError("this bundle was saved without its fitted cleaning; purchase rows cannot be scored")
+    return score_customers(bundle.serving.customers(transactions, as_of), bundle)
+
+
 def segment_distribution(scored: DataFrame, segment: str = "segment_name") -> DataFrame:
     return scored.groupBy(segment).agg(F.count(F.lit(1)).alias("n"))

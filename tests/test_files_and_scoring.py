@@ -114,3 +114,43 @@ def test_run_saves_and_resumes(spark, tmp_path):
     assert scoring.Bundle.load(f"{out}/best_model").features == first.data.features
     with pytest.raises(FileNotFoundError):
         run(None, str(tmp_path / "none"), resume=("preprocess",), **small)
+
+
+def test_served_cleaning_fits_nothing_anew(spark):
+    """Saved and reloaded, the cleaning gives training's rows; new rows take the saved fills and fences."""
+    from retentio.operators.customers import aggregate_customers
+    from retentio.plans.serving import fit_serving, load_serving, save_serving
+    from retentio.plans.stages import cleaned, fit_cleaning
+    from retentio.session import scratch_path
+    from retentio.sources import retail
+
+    tx = retail.transactions(spark, "/root/testdata/sf0.001").cache()
+    cleaning = fit_cleaning(tx, retail.PRODUCT_RULES)
+    customers = aggregate_customers(cleaned(cleaning))
+    trained, serving = fit_serving(cleaning, customers)
+    path = scratch_path(spark, "serving")
+    save_serving(serving, path)
+    loaded = load_serving(spark, path)
+    assert loaded.as_of == serving.as_of and loaded.rfm == serving.rfm
+    columns = sorted(cleaned(cleaning).columns)
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+    assert rows(loaded.clean(tx)) == rows(cleaned(cleaning))
+    assert sorted(loaded.customers(tx).collect(), key=str) == sorted(trained.select(*loaded.customers(tx).columns).collect(), key=str)
+
+    fence = cleaning.fences["amount"].high
+    new = tx.limit(20).withColumn("amount", F.lit(fence * 1000.0)).withColumn("gender", F.lit(None).cast("string"))
+    served = loaded.clean(new).collect()
+    scaled_high = cleaning.scaler.expression("amount")
+    top = spark.createDataFrame([(fence,)], "amount double").select(scaled_high.alias("x")).first()["x"]
+    assert all(abs(r["amount"] - top) < 1e-9 for r in served)  # cut at the saved fence, then the saved scale
+    if "gender" in cleaning.imputer.values:
+        assert all(r["gender"] == cleaning.imputer.values["gender"] for r in served)  # the saved mode
+
+
+def test_bundle_without_serving_refuses_purchases(spark):
+    bundle = scoring.Bundle("m", None, [], {}, None, Encoder(), None)
+    with pytest.raises(ValueError):
+        scoring.score_purchases(spark.createDataFrame([], "client_id long"), bundle)
