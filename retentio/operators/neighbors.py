@@ -1,9 +1,22 @@
-"""Exact k nearest neighbours of distinct vectors, without comparing all pairs.
-
-Vectors are assigned to the nearest of a set of pivot vectors. The k-th distance inside the
-own cell bounds the search: by the triangle inequality only cells that come closer than the
-bound are visited. Cells are bounded in size, crowded ones on the query side are salted, and
-distances live in numpy blocks inside the tasks; pairs are never written out.
+"""Exact k nearest neighbours of distinct vectors through a block index, without comparing all pairs.
+
+Index: the vectors are projected onto their ``AXES`` leading principal axes. The axes are
+orthonormal, so a distance between projections never exceeds the true distance. Rows are
+ordered by the first projected axis and cut into blocks of ``cell_rows`` rows; each block
+keeps its box (least and largest projection on every axis), one row per block.
+
+Search: every row first searches its own block, and its k-th distance there (its reach)
+bounds the answer. It then visits every other block whose box comes within its reach:
+bisection on the blocks' first-axis ranges (ordered, as the blocks are) finds the
+candidates, and the box test on all axes decides. Visits are grouped by block; a block
+visited by many rows is met in parts of at most ``QUERY_ROWS`` rows, each part against the
+whole block, so no task holds more than one block and one part. Each task keeps k per row
+and a bounded merge (k per visited block) keeps the k best per row. Distances live in
+numpy blocks inside the tasks; pairs are never written out.
+
+One path for every size: a table of one block is searched as one block. The box table has
+at most ``MAX_BLOCKS`` rows (blocks grow beyond that), which bounds what the driver holds.
+Ties order by the smaller id.
 """
 
 from __future__ import annotations
@@ -15,11 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentio.operators.ranking import with_row_index
 from retentio.session import materialize
 
 CELL_ROWS = 4_096
-MAX_PIVOTS = 65_536
 QUERY_ROWS = 50_000
+MAX_BLOCKS = 1_000_000
+AXES = 3
 BLOCK = 512
 EPSILON = 1e-9
 
@@ -56,104 +71,105 @@ def _top(ids, vectors, other_ids, others, k, limits=None):
 
 def nearest(df: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(id, vector array<double>)`` with unique vectors -> ``(id, neighbours)``, nearest first."""
+    first = df.select(F.size("vector").alias("d")).where(F.col("d") >= 0).first()
+    if first is None:
+        return df.sparkSession.createDataFrame([], _OUT)
+    d = int(first["d"])
     n = df.count()
-    if n <= cell_rows:
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids, vectors = pdf["id"].to_numpy(), np.array(pdf["vector"].tolist(), dtype=float)
-            return pd.DataFrame({"id": ids, "neighbours": _top(ids, vectors, ids, vectors, k)})
-
-        return df.groupBy(F.lit(0).alias("cell")).applyInPandas(whole, _OUT)
-    assigned, pivots, radii = _assign(df, n, cell_rows)
-    local = materialize(_search_home(assigned, k), "cells")
-    remote = _search_around(local, assigned, pivots, radii, k)
+    rows = max(cell_rows, math.ceil(n / MAX_BLOCKS))
+    axes = _axes(df, d)
+    projected = _project(df.select("id", "vector"), axes)
+    ordered = with_row_index(projected, [F.col("p")[0], F.col("id")], "_index")
+    blocks = materialize(
+        ordered.select("id", "vector", "p", (F.col("_index") / F.lit(rows)).cast("int").alias("cell")), "blocks"
+    )
+    width = axes.shape[1]
+    boxes = (
+        blocks.groupBy("cell")
+        .agg(*[F.min(F.col("p")[j]).alias(f"lo{j}") for j in range(width)], *[F.max(F.col("p")[j]).alias(f"hi{j}") for j in range(width)])
+        .orderBy("cell")
+        .collect()  # one row per block, at most MAX_BLOCKS
+    )
+    low = np.array([[b[f"lo{j}"] for j in range(width)] for b in boxes], dtype=float).reshape(len(boxes), width)
+    high = np.array([[b[f"hi{j}"] for j in range(width)] for b in boxes], dtype=float).reshape(len(boxes), width)
+    cells = np.array([b["cell"] for b in boxes], dtype=np.int64)
+    local = materialize(_search_home(blocks, k), "cells")
+    remote = _search_around(local, blocks, cells, low, high, k)
     both = local.select("id", F.inline("neighbours")).toDF("id", "distance", "other").unionByName(
         remote.select("id", F.inline("neighbours")).toDF("id", "distance", "other")
     )
-    # each visited cell contributes at most k rows per id
-    ranked = both.groupBy("id").agg(
+    # each visited block contributes at most k rows per id
+    return both.groupBy("id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("distance", F.col("other").alias("id")))), 1, k).alias("neighbours")
     )
-    return ranked
-
-
-def _assign(df: DataFrame, n: int, cell_rows: int):
-    """Pivot of every vector; crowded cells get more pivots of their own."""
-    wanted = min(MAX_PIVOTS, math.ceil(2 * n / cell_rows))
-    pivots = _pick(df, wanted, 0)
-    for attempt in range(1, 6):
-        assigned = materialize(_to_cells(df, pivots), "assigned")
-        stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("to_pivot").alias("radius")).collect()
-        crowded = {row["cell"]: row["n"] for row in stats if row["n"] > 4 * cell_rows}
-        if not crowded or len(pivots) >= MAX_PIVOTS or attempt == 5:
-            break
-        extra = min(MAX_PIVOTS - len(pivots), sum(math.ceil(2 * m / cell_rows) for m in crowded.values()))
-        pivots = np.vstack([pivots, _pick(assigned.filter(F.col("cell").isin(list(crowded))), extra, attempt)])
-    radii = np.full(len(pivots), -1.0)
-    for row in stats:
-        radii[row["cell"]] = row["radius"]
-    return assigned, pivots, radii
-
-
-def _pick(df: DataFrame, count: int, seed: int) -> np.ndarray:
-    rows = df.select("vector", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h").limit(count).collect()
-    return np.unique(np.array([row["vector"] for row in rows], dtype=float), axis=0)
-
-
-def _to_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    def assign(batches):
+
+
+def _axes(df: DataFrame, d: int) -> np.ndarray:
+    """``d x m`` orthonormal leading principal axes, from moments summed over all rows."""
+    m = min(AXES, d)
+    if m == 0:
+        return np.zeros((d, 0))
+
+    def partial(batches):
         for pdf in batches:
-            vectors = np.array(pdf["vector"].tolist(), dtype=float).reshape(len(pdf), pivots.shape[1])
-            cells, near = [], []
-            for start in range(0, len(vectors), BLOCK):
-                d = _distances(vectors[start : start + BLOCK], pivots)
-                best = d.argmin(axis=1)
-                cells.append(best)
-                near.append(d[np.arange(len(best)), best])
-            yield pdf.assign(
-                cell=np.concatenate(cells).astype("int32") if cells else np.array([], "int32"),
-                to_pivot=np.concatenate(near) if near else np.array([]),
-            )
-
-    return df.select("id", "vector").mapInPandas(assign, "id long, vector array<double>, cell int, to_pivot double")
-
-
-def _search_home(assigned: DataFrame, k: int) -> DataFrame:
+            x = np.array(pdf["vector"].tolist(), dtype=float).reshape(len(pdf), d)
+            yield pd.DataFrame({"s": [np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]).tolist()]})
+
+    parts = df.select("vector").mapInPandas(partial, "s array<double>")
+    summed = parts.select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("v")).collect()  # 1 + d + d*d rows
+    total = np.zeros(1 + d + d * d)
+    for row in summed:
+        total[row["pos"]] = row["v"]
+    count = max(total[0], 1.0)
+    mean = total[1 : 1 + d] / count
+    cov = total[1 + d :].reshape(d, d) / count - np.outer(mean, mean)
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    return vectors[:, np.argsort(-values, kind="stable")[:m]]
+
+
+def _project(df: DataFrame, axes: np.ndarray) -> DataFrame:
+    d = axes.shape[0]
+
+    def project(batches):
+        for pdf in batches:
+            x = np.array(pdf["vector"].tolist(), dtype=float).reshape(len(pdf), d)
+            yield pdf.assign(p=list(x @ axes))
+
+    return df.mapInPandas(project, "id long, vector array<double>, p array<double>")
+
+
+def _search_home(blocks: DataFrame, k: int) -> DataFrame:
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, vectors = pdf["id"].to_numpy(), np.array(pdf["vector"].tolist(), dtype=float)
         lists = _top(ids, vectors, ids, vectors, k)
         reach = [l[k - 1]["distance"] if len(l) >= k else math.inf for l in lists]
-        return pdf.assign(neighbours=lists, reach=reach)[["id", "vector", "cell", "to_pivot", "reach", "neighbours"]]
+        return pdf.assign(neighbours=lists, reach=reach)[["id", "vector", "p", "cell", "reach", "neighbours"]]
 
-    schema = "id long, vector array<double>, cell int, to_pivot double, reach double, "
+    schema = "id long, vector array<double>, p array<double>, cell int, reach double, "
     schema += "neighbours array<struct<distance:double,id:long>>"
-    return assigned.groupBy("cell").applyInPandas(search, schema)
-
+    return blocks.groupBy("cell").applyInPandas(search, schema)
 
-def _search_around(local: DataFrame, assigned: DataFrame, pivots: np.ndarray, radii: np.ndarray, k: int) -> DataFrame:
-    gaps = None if len(pivots) > 4_096 else _distances(pivots, pivots)
 
+def _search_around(local: DataFrame, blocks: DataFrame, cells: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> DataFrame:
     def visits(batches):
-        used = np.flatnonzero(radii >= 0)
         for pdf in batches:
-            vectors = np.array(pdf["vector"].tolist(), dtype=float).reshape(len(pdf), pivots.shape[1])
             lists = []
-            for start in range(0, len(vectors), BLOCK):
-                d = _distances(vectors[start : start + BLOCK], pivots)
-                for i, row in enumerate(d):
-                    at = start + i
-                    home, reach = int(pdf["cell"].iat[at]), float(pdf["reach"].iat[at])
-                    least = row[used] - radii[used]
-                    if gaps is not None:
-                        # distance to the plane halfway between the two pivots
-                        span = np.maximum(gaps[home][used], EPSILON)
-                        least = np.maximum(least, (row[used] ** 2 - row[home] ** 2) / (2 * span))
-                    near = used[(least <= reach * (1 + EPSILON) + EPSILON) & (used != home)]
-                    lists.append([int(c) for c in near])
+            for p, home, reach in zip(pdf["p"], pdf["cell"], pdf["reach"]):
+                p = np.asarray(p, dtype=float)
+                bound = reach * (1 + EPSILON) + EPSILON
+                if len(p) == 0:
+                    near = np.arange(len(cells))
+                else:
+                    start = np.searchsorted(high[:, 0], p[0] - bound, "left")
+                    end = np.searchsorted(low[:, 0], p[0] + bound, "right")
+                    near = np.arange(start, end)
+                    gaps = np.maximum(np.maximum(low[near] - p, p - high[near]), 0.0)
+                    near = near[np.sqrt((gaps**2).sum(axis=1)) <= bound]
+                lists.append([int(c) for c in cells[near] if c != home])
             yield pd.DataFrame({"id": pdf["id"], "vector": pdf["vector"], "reach": pdf["reach"], "cells": lists})
 
     queries = materialize(
-        local.select("id", "vector", "cell", "reach")
+        local.select("id", "vector", "p", "cell", "reach")
         .mapInPandas(visits, "id long, vector array<double>, reach double, cells array<int>")
         .select("id", "vector", "reach", F.explode("cells").alias("cell")),
         "visits",
@@ -161,7 +177,7 @@ def _search_around(local: DataFrame, assigned: DataFrame, pivots: np.ndarray, ra
     parts = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("parts"))
     salted = queries.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     spread = (
-        assigned.select("id", "vector", "cell")
+        blocks.select("id", "vector", "cell")
         .join(parts, "cell")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )

@@ -115,7 +115,7 @@ def test_copies_of_two_classes_link(spark):
 
 @pytest.mark.parametrize("cell_rows", [60, 5000])
 def test_nearest_neighbours_against_brute_force(spark, monkeypatch, cell_rows):
-    """Clumped data: crowded cells are split and the query side is salted."""
+    """Clumped data: small blocks are visited by many rows, and the query side is salted."""
     monkeypatch.setattr(neighbors, "QUERY_ROWS", 100)
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(scale=0.01, size=(300, 3)), rng.normal(size=(300, 3)) * 5])
