@@ -7,11 +7,11 @@ for A, its vocabulary entry decoded through the byte-level alphabet, and for B i
 UTF-8 with U+2581 read as a space and ``<0xHH>`` read as the byte HH.
 
 Method (divide and conquer at shared cuts): the byte offsets where tokens end form two
-sorted arrays. For an interval that ends at a shared end, bisection finds the token ends of
-both sides nearest its middle byte, and a merge walk outwards from there finds the shared
-end nearest the middle; the interval is cut there and both halves are worked on the same
-way (an explicit stack, so long texts need no deep recursion). An interval without a shared
-end inside is a leaf group. Links are the overlapping (A token, B token) pairs: as both
+sorted arrays; their intersection holds the shared ends. For an interval between shared
+ends, bisection finds the shared end nearest its middle byte; the interval is cut there and
+both halves are worked on the same way. An interval without a shared end inside is a leaf
+group. The recursion runs one level at a time over all open intervals of a whole Arrow batch
+(texts laid end to end, so every text's end is a shared end), as array operations. Links are the overlapping (A token, B token) pairs: as both
 sides tile the same bytes, they are the pieces between the merged token ends, one link per
 piece. Spark counts, for every (A id, B id) pair, the documents that hold it linked
 (combined before the shuffle, so a frequent pair costs one row per task), takes each A id's
@@ -27,10 +27,10 @@ input are ignored.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import os
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -91,103 +91,165 @@ def tokenizers(a_file: str = A_FILE, b_file: str = B_FILE):
     return a, a_bytes, b, b_bytes
 
 
-def _shared_near(ends_a: np.ndarray, ends_b: np.ndarray, a_lo: int, a_hi: int, b_lo: int, b_hi: int):
-    """Indices (i, j) of a shared end strictly inside the interval, nearest its middle byte."""
-    if a_hi - a_lo < 2 or b_hi - b_lo < 2:
-        return None
-    start = int(ends_a[a_lo - 1]) if a_lo else 0
-    middle = (start + int(ends_a[a_hi - 1])) / 2
-    i0 = bisect.bisect_left(ends_a, middle, a_lo, a_hi - 1)
-    j0 = bisect.bisect_left(ends_b, middle, b_lo, b_hi - 1)
-    right = None
-    i, j = i0, j0
-    while i < a_hi - 1 and j < b_hi - 1:
-        if ends_a[i] == ends_b[j]:
-            right = (i, j)
-            break
-        if ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-    left = None
-    i, j = i0 - 1, j0 - 1
-    while i >= a_lo and j >= b_lo:
-        if ends_a[i] == ends_b[j]:
-            left = (i, j)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Values of a sorted array, each once."""
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """Sorted ends present in both sorted arrays."""
+    at = np.minimum(np.searchsorted(ends_b, ends_a), max(len(ends_b) - 1, 0))
+    return _distinct(ends_a[ends_b[at] == ends_a]) if len(ends_b) else ends_b
+
+
+def all_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """Sorted ends present in either sorted array."""
+    return _distinct(np.sort(np.concatenate([ends_a, ends_b]), kind="stable"))
+
+
+def split_levels(cuts: np.ndarray) -> np.ndarray:
+    """Divide and conquer over sorted shared ends ``cuts`` (the first is the start), one level
+    at a time for all intervals: an interval with shared ends inside is cut at the one nearest
+    its middle byte, found by bisection; an interval without is a leaf. Returns the leaves as
+    (first, last) index pairs into ``cuts``, in order."""
+    if len(cuts) < 2:
+        return np.empty((0, 2), dtype=np.int64)
+    open_ = np.array([[0, len(cuts) - 1]], dtype=np.int64)
+    leaves = []
+    while len(open_):
+        lo, hi = open_[:, 0], open_[:, 1]
+        leaf = hi - lo < 2
+        leaves.append(open_[leaf])
+        lo, hi = lo[~leaf], hi[~leaf]
+        if not len(lo):
             break
-        if ends_a[i] > ends_b[j]:
-            i -= 1
-        else:
-            j -= 1
-    if left is None or right is None:
-        return left or right
-    return left if middle - ends_a[left[0]] <= ends_a[right[0]] - middle else right
+        middle = (cuts[lo] + cuts[hi]) / 2
+        right = np.clip(np.searchsorted(cuts, middle, "left"), lo + 1, hi - 1)
+        left = np.maximum(right - 1, lo + 1)
+        at = np.where(middle - cuts[left] <= cuts[right] - middle, left, right)
+        open_ = np.concatenate([np.stack([lo, at], 1), np.stack([at, hi], 1)])
+    found = np.concatenate(leaves)
+    return found[np.argsort(found[:, 0], kind="stable")]
 
 
 def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Token index ranges ``(a_lo, a_hi, b_lo, b_hi)`` of the groups, in text order."""
+    """Token index ranges ``(a_lo, a_hi, b_lo, b_hi)`` of the groups of one text, in order."""
     if len(ends_a) == 0 or len(ends_b) == 0:
         return []
-    out = []
-    stack = [(0, len(ends_a), 0, len(ends_b))]
-    while stack:
-        a_lo, a_hi, b_lo, b_hi = stack.pop()
-        cut = _shared_near(ends_a, ends_b, a_lo, a_hi, b_lo, b_hi)
-        if cut is None:
-            out.append((a_lo, a_hi, b_lo, b_hi))
-            continue
-        i, j = cut
-        stack.append((i + 1, a_hi, j + 1, b_hi))
-        stack.append((a_lo, i + 1, b_lo, j + 1))
-    return out
+    cuts = np.concatenate([[0], shared_ends(ends_a, ends_b)])
+    leaves = split_levels(cuts)
+    first, last = cuts[leaves[:, 0]], cuts[leaves[:, 1]]
+    a_lo, a_hi = np.searchsorted(ends_a, first, "right"), np.searchsorted(ends_a, last, "right")
+    b_lo, b_hi = np.searchsorted(ends_b, first, "right"), np.searchsorted(ends_b, last, "right")
+    return [tuple(int(v) for v in row) for row in zip(a_lo, a_hi, b_lo, b_hi)]
 
 
 def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(A token, B token) of every overlapping pair: one per piece between merged ends."""
-    pieces = np.union1d(ends_a, ends_b)
+    pieces = all_ends(ends_a, ends_b)
     return np.searchsorted(ends_a, pieces, "left"), np.searchsorted(ends_b, pieces, "left")
 
 
-def align_texts(texts: list[str | None], tools) -> list[dict]:
-    """Alignment of each text: ids, groups and the distinct linked pairs with their multiplicity."""
-    a, a_bytes, b, b_bytes = tools
-    out: list[dict] = [{"a": [], "b": [], "groups": [], "pairs": [], "mult": []} for _ in texts]
+@lru_cache(maxsize=2)
+def _tables(a_file: str = A_FILE, b_file: str = B_FILE):
+    """Byte lengths and decimal texts (with each separator) of every id."""
+    _, a_bytes, _, b_bytes = tokenizers(a_file, b_file)
+    out = []
+    for table, seps in ((a_bytes, (",", "|")), (b_bytes, (",", ";"))):
+        lengths = np.array([len(t) for t in table], dtype=np.int64)
+        texts = {sep: np.array([f"{i}{sep}" for i in range(len(table))], dtype=object) for sep in seps}
+        texts[""] = np.array([str(i) for i in range(len(table))], dtype=object)
+        out.append((lengths, texts))
+    return out
+
+
+def _spelled(table: list[bytes], ids: list[int]) -> bytes:
+    """The bytes of the tokens ``ids``, joined."""
+    if len(ids) < 2:
+        return b"".join(table[i] for i in ids)
+    return b"".join(itemgetter(*ids)(table))
+
+
+def align_batch(texts: list[str | None], a_file: str = A_FILE, b_file: str = B_FILE) -> list[dict]:
+    """Per text: n_a, n_b, n_groups, groups text and its distinct linked pairs with counts.
+
+    All texts of the batch are laid end to end, so one pass of array operations serves them
+    all: document boundaries are shared ends of both tokenizations."""
+    a, a_bytes, b, b_bytes = tokenizers(a_file, b_file)
+    (len_a, str_a), (len_b, str_b) = _tables(a_file, b_file)
+    out = [{"n_a": 0, "n_b": 0, "n_groups": 0, "groups": "", "pairs": np.empty(0, np.int64), "mult": np.empty(0, np.int64)} for _ in texts]
     live = [i for i, t in enumerate(texts) if t]
     if not live:
         return out
     coded_a = a.encode_batch([" " + texts[i] for i in live], add_special_tokens=False)
     coded_b = b.encode([texts[i] for i in live], num_threads=1)
+    kept, ids_a, ids_b = [], [], []
     for i, ea, ib in zip(live, coded_a, coded_b):
-        found = aligned((" " + texts[i]).encode(), ea.ids, ib, a_bytes, b_bytes)
-        if found is not None:
-            out[i] = found
+        whole = (" " + texts[i]).encode()
+        if _spelled(a_bytes, ea.ids) == whole and _spelled(b_bytes, ib) == whole:
+            kept.append(i)
+            ids_a.append(np.asarray(ea.ids, dtype=np.int64))
+            ids_b.append(np.asarray(ib, dtype=np.int64))
+    if not kept:
+        return out
+    doc_a = np.repeat(np.arange(len(kept)), [len(x) for x in ids_a])
+    doc_b = np.repeat(np.arange(len(kept)), [len(x) for x in ids_b])
+    ia, ib = np.concatenate(ids_a), np.concatenate(ids_b)
+    ends_a, ends_b = np.cumsum(len_a[ia]), np.cumsum(len_b[ib])
+    doc_end = np.cumsum([len(texts[i].encode()) + 1 for i in kept])
+
+    cuts = np.concatenate([[0], shared_ends(ends_a, ends_b)])
+    leaves = split_levels(cuts)
+    first, last = cuts[leaves[:, 0]], cuts[leaves[:, 1]]
+    a_lo, a_hi = np.searchsorted(ends_a, first, "right"), np.searchsorted(ends_a, last, "right")
+    b_lo, b_hi = np.searchsorted(ends_b, first, "right"), np.searchsorted(ends_b, last, "right")
+    doc_g = np.searchsorted(doc_end, last, "left")
+
+    # "a,a|b,b;" per group, the last of a text without ";"
+    group_a = np.repeat(np.arange(len(leaves)), a_hi - a_lo)
+    group_b = np.repeat(np.arange(len(leaves)), b_hi - b_lo)
+    size = (a_hi - a_lo) + (b_hi - b_lo)
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    at_a = start[group_a] + np.arange(len(ia)) - a_lo[group_a]
+    at_b = start[group_b] + (a_hi - a_lo)[group_b] + np.arange(len(ib)) - b_lo[group_b]
+    last_a = np.zeros(len(ia), dtype=bool)
+    last_a[a_hi[a_hi > a_lo] - 1] = True
+    last_b = np.zeros(len(ib), dtype=bool)
+    last_b[b_hi[b_hi > b_lo] - 1] = True
+    text_end = np.zeros(len(ib), dtype=bool)
+    text_end[np.searchsorted(doc_b, np.arange(len(kept)), "right") - 1] = True
+    items = np.empty(len(ia) + len(ib), dtype=object)
+    items[at_a] = np.where(last_a, str_a["|"][ia], str_a[","][ia])
+    items[at_b] = np.where(text_end, str_b[""][ib], np.where(last_b, str_b[";"][ib], str_b[","][ib]))
+    text_items = np.bincount(doc_g, weights=size, minlength=len(kept)).astype(np.int64)
+    item_end = np.cumsum(text_items)
+
+    pieces = all_ends(ends_a, ends_b)
+    la, lb = np.searchsorted(ends_a, pieces, "left"), np.searchsorted(ends_b, pieces, "left")
+    keys, docs = (ia[la] << 32) | ib[lb], doc_a[la]
+    order = np.lexsort((keys, docs))
+    keys, docs = keys[order], docs[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
+    starts = np.flatnonzero(new)
+    mult = np.diff(np.append(starts, len(keys)))
+    ukeys, udocs = keys[starts], docs[starts]
+    doc_pairs_end = np.searchsorted(udocs, np.arange(len(kept)), "right")
+
+    n_groups = np.bincount(doc_g, minlength=len(kept))
+    for j, i in enumerate(kept):
+        lo_item = item_end[j - 1] if j else 0
+        lo_pair = doc_pairs_end[j - 1] if j else 0
+        out[i] = {
+            "n_a": len(ids_a[j]),
+            "n_b": len(ids_b[j]),
+            "n_groups": int(n_groups[j]),
+            "groups": "".join(items[lo_item : item_end[j]]),
+            "pairs": ukeys[lo_pair : doc_pairs_end[j]],
+            "mult": mult[lo_pair : doc_pairs_end[j]],
+        }
     return out
 
 
-def aligned(whole: bytes, ids_a, ids_b, a_bytes, b_bytes) -> dict | None:
-    """Alignment from given ids; None where the tokens do not spell ``whole``."""
-    pieces_a = [a_bytes[i] for i in ids_a]
-    pieces_b = [b_bytes[i] for i in ids_b]
-    if b"".join(pieces_a) != whole or b"".join(pieces_b) != whole:
-        return None
-    ends_a = np.cumsum([len(p) for p in pieces_a], dtype=np.int64)
-    ends_b = np.cumsum([len(p) for p in pieces_b], dtype=np.int64)
-    ia, ib = links(ends_a, ends_b)
-    aa, bb = np.asarray(ids_a, dtype=np.int64), np.asarray(ids_b, dtype=np.int64)
-    keys = (aa[ia] << 32) | bb[ib]
-    pairs, mult = np.unique(keys, return_counts=True)
-    return {"a": ids_a, "b": ids_b, "groups": groups(ends_a, ends_b), "pairs": pairs, "mult": mult}
-
-
-def groups_text(found: dict) -> str:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids of each group, groups in text order."""
-    a, b = found["a"], found["b"]
-    return ";".join(
-        ",".join(map(str, a[a_lo:a_hi])) + "|" + ",".join(map(str, b[b_lo:b_hi]))
-        for a_lo, a_hi, b_lo, b_hi in found["groups"]
-    )
-
-
 SCHEMA = (
     "_row long, _id long, n_a long, n_b long, n_groups long, groups_sha256 string, "
     "pairs array<long>, mult array<long>"
@@ -198,21 +260,24 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     """One row per document: counts, digest of the groups and the linked id pairs (written once)."""
 
     def run(batches):
-        tools = tokenizers()
         for batch in batches:
             rows, ids, texts = (batch.column(i).to_pylist() for i in range(3))
-            out = {k: [] for k in ("_row", "_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "mult")}
-            for row, doc, found in zip(rows, ids, align_texts(texts, tools)):
-                listed = groups_text(found)
-                out["_row"].append(row)
-                out["_id"].append(doc)
-                out["n_a"].append(len(found["a"]))
-                out["n_b"].append(len(found["b"]))
-                out["n_groups"].append(len(found["groups"]))
-                out["groups_sha256"].append(hashlib.sha256(listed.encode()).hexdigest() if listed else "")
-                out["pairs"].append(np.asarray(found["pairs"], dtype=np.int64))
-                out["mult"].append(np.asarray(found["mult"], dtype=np.int64))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
+            found = align_batch(texts)
+            yield pa.RecordBatch.from_pandas(
+                pd.DataFrame(
+                    {
+                        "_row": rows,
+                        "_id": pd.array(ids, dtype="Int64"),
+                        "n_a": [f["n_a"] for f in found],
+                        "n_b": [f["n_b"] for f in found],
+                        "n_groups": [f["n_groups"] for f in found],
+                        "groups_sha256": [hashlib.sha256(f["groups"].encode()).hexdigest() if f["groups"] else "" for f in found],
+                        "pairs": [f["pairs"] for f in found],
+                        "mult": [f["mult"] for f in found],
+                    }
+                ),
+                preserve_index=False,
+            )
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_t")
