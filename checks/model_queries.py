@@ -185,6 +185,38 @@ def smote_and_tomek(spark, folder):
     return df.groupBy(label, "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+# the same four on every model feature (37 at these scales, store flags included), as the
+# operators choose them by default; SQL has the store shares in long form, so these are
+# tested against brute force (tests/test_sampling.py) instead of a twin
+
+
+@query("smote_all_features")
+def smote_all_features(spark, folder):
+    df = stages.targeted(spark, folder)
+    features = sampling.model_features(df)
+    made = sampling.smote(df, "loyalty_target", features).filter("is_synthetic")
+    return rounded(made.select("loyalty_target", *features))
+
+
+@query("tomek_all_features")
+def tomek_all_features(spark, folder):
+    df = stages.targeted(spark, folder)
+    features = sampling.model_features(df)
+    return sampling.drop_tomek_links(df.select("client_id", "loyalty_target", *features), "loyalty_target", features).select("client_id")
+
+
+@query("smote_and_tomek_all_features")
+def smote_and_tomek_all_features(spark, folder):
+    df, label, _ = sampling.rebalance(stages.targeted(spark, folder), "sampling")
+    return df.groupBy(label, "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("balance_combined_all_features")
+def balance_combined_all_features(spark, folder):
+    df, label, _ = sampling.rebalance(stages.targeted(spark, folder), "combine")
+    return df.groupBy(label, "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
 RECUT = """SELECT [list_extract(s, 1), list_extract(s, 2), list_extract(s, 3), list_extract(s, 4)] AS b FROM (SELECT list(round(loyalty_score, 2) ORDER BY c) AS s FROM
    (SELECT loyalty_score, row_number() OVER (ORDER BY loyalty_score) - 1 AS rn, count(*) OVER () AS n FROM scored_{m}), (VALUES (15), (35), (60), (85)) v(c) WHERE rn = n * c // 100)"""
 

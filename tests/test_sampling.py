@@ -134,3 +134,46 @@ def test_rebalance_methods(points):
     assert sampling.rebalance(scored, "none", "y")[0] is scored
     with pytest.raises(ValueError):
         sampling.rebalance(scored, "magic", "y")
+
+
+def _segment_of(x, small, reach_k=5):
+    """True if ``x`` lies between a row of ``small`` and one of its ``reach_k`` nearest rows."""
+    d = np.sqrt(((small[:, None] - small[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    reach = np.sort(d, axis=1)[:, reach_k - 1]
+    for i in range(len(small)):
+        for j in np.flatnonzero(d[i] <= reach[i] + 1e-12):
+            v, w = small[j] - small[i], x - small[i]
+            n = v @ v
+            g = (w @ v) / n if n else 0.0
+            if -1e-9 <= g <= 1 + 1e-9 and np.abs(w - g * v).max() < 1e-6 * (1 + np.abs(small).max()):
+                return True
+    return False
+
+
+def test_all_feature_queries_against_brute_force(spark):
+    """The registered queries on all model features: Tomek links and SMOTE neighbours by plain numpy."""
+    import __spark_entry__ as entry
+    from checks import stages
+
+    folder = "/root/testdata/sf0.001"
+    df = stages.targeted(spark, folder)
+    features = sampling.model_features(df)
+    assert len(features) > 30
+    pdf = df.select("client_id", "loyalty_target", *features).toPandas().sort_values("client_id").reset_index(drop=True)
+    x = pdf[features].to_numpy(dtype=float)
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    nn = d.argmin(axis=1)  # ties: the smaller id, as rows are in id order
+    y = pdf["loyalty_target"].to_numpy()
+    linked = {pdf["client_id"][i] for i in range(len(x)) if nn[nn[i]] == i and y[i] != y[nn[i]]}
+    kept = {r["client_id"] for r in entry.queries()["tomek_all_features"](spark, folder).collect()}
+    assert kept == set(pdf["client_id"]) - linked
+
+    made = entry.queries()["smote_all_features"](spark, folder).toPandas()
+    counts = pdf["loyalty_target"].value_counts()
+    assert len(made) == sum(counts.max() - n for n in counts)
+    for label, group in made.groupby("loyalty_target"):
+        small = x[y == label]
+        for point in group[features].to_numpy(dtype=float)[:40]:
+            assert _segment_of(point, small)
