@@ -656,6 +656,30 @@ def profile_features(spark, folder):
     return rounded(made.select(*keep), 6, monetary=SINGLE, avg_purchase=SINGLE, frequency=4, bonus_earned_sum=4, bonus_activity=SINGLE)
 
 
+def _rated_profiles(spark, folder):
+    """Profiles with a purchase rate a month: a third of the count, blank or not a number for some."""
+    facts = stages.tx(spark, folder).groupBy("client_id").agg(F.min("gender").alias("g"), F.count(F.lit(1)).alias("k"))
+    rate = F.when(F.col("g") == "HOUSEHOLD", F.lit(None)).when(F.col("g") == "BUILDING", "n/a").otherwise(F.round(F.col("k") / 3.0, 4).cast("string"))
+    return _profiles(spark, folder).join(facts.select(F.col("client_id").alias("ID Клиента"), rate.alias("Частота, раз/мес")), "ID Клиента")
+
+
+@query(
+    "profile_rates",
+    ["tx"],
+    f"""SELECT client_id, round(CAST(frequency AS DOUBLE), 4) AS frequency, {single('monetary')} AS monetary, round(frequency / activity_period, 6) AS purchase_density
+        FROM (SELECT client_id, activity_period, coalesce(rate, frequency) AS frequency,
+                CASE WHEN coalesce(gender <> 'HOUSEHOLD', false) THEN c * coalesce(rate, frequency) ELSE 250.5 END AS monetary
+              FROM ({PROFILES.replace("avg_purchase, activity_period, earned FROM (", "avg_purchase, activity_period, earned, rate, c FROM (").replace(
+                  "CASE WHEN gender = 'FURNITURE' THEN 0 ELSE e END AS earned", "CASE WHEN gender = 'FURNITURE' THEN 0 ELSE e END AS earned, c, CASE WHEN gender = 'HOUSEHOLD' OR gender = 'BUILDING' THEN NULL ELSE round(k / 3.0, 4) END AS rate")}))""",
+)
+def profile_rates(spark, folder):
+    """The rate branch of profile RFM: frequency is the rate where it parses, else the count, and
+    monetary is the average check times that frequency."""
+    df = scoring.standardise_input(_rated_profiles(spark, folder))
+    made = scoring.profile_features(scoring.profile_rfm(df, F.lit("2001-08-01").cast("timestamp")))
+    return rounded(made.select("client_id", "frequency", "monetary", "purchase_density"), 6, monetary=SINGLE, frequency=4)
+
+
 @query(
     "profile_encoding",
     ["tx", "top_stores", "genders"],
