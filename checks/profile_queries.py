@@ -301,6 +301,21 @@ def strong_correlations(spark, folder):
     return rounded(profile.strong_correlations(retail.order_lines(spark, folder), NUMBERS))
 
 
+# every numeric column of the purchase lines, as the operator takes them by default
+ALL_NUMBERS = ["client_id", "order_key", "line_number", "l_partkey", "l_suppkey", *NUMBERS, "l_extendedprice"]
+ALL_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lines" for a in ALL_NUMBERS for b in ALL_NUMBERS)
+
+
+@query("correlation_matrix_all", ["lines"], ALL_PAIRS)
+def correlation_matrix_all(spark, folder):
+    return rounded(profile.correlation_matrix(retail.order_lines(spark, folder)))
+
+
+@query("strong_correlations_all", ["lines"], f"SELECT * FROM ({ALL_PAIRS}) WHERE abs(r) > 0.3")
+def strong_correlations_all(spark, folder):
+    return rounded(profile.strong_correlations(retail.order_lines(spark, folder)))
+
+
 @query(
     "metric_pairs",
     ["cust"],

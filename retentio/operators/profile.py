@@ -326,8 +326,8 @@ def hour_counts(df: DataFrame, column: str = "purchase_ts") -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson r of every pair, rows with a null in the pair skipped.
 
-    One pass: each row spreads into its pairs, which fold into a few partial moments per
-    pair before anything is shuffled.
+    One pass and one aggregate: each pair is a few partial moments of the masked columns,
+    combined before anything is shuffled; no row is copied per pair.
     """
     columns = columns or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
@@ -337,13 +337,15 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 
 
 def pearson_table(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(a, b, r) per pair; r is null when either side is constant."""
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in pairs
-    ]
-    long = df.select(F.inline(F.array(*cells))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return long.groupBy("a", "b").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    """(a, b, r) per pair; r is null when either side is constant or no row has both."""
+    moments = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        moments.append(pearson(F.when(both, x), F.when(both, y)).alias(f"_r{i}"))
+    row = df.agg(*moments)  # one row of len(pairs) numbers
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
+    return row.select(F.inline(F.array(*cells)))
 
 
 def strong_correlations(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
