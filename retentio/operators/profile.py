@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from retentio.functions.columns import numeric_columns, pearson, string_columns, whole_days
 from retentio.operators.quantiles import exact_quantiles
+from retentio.session import materialize
 
-CATEGORY_LIMIT = 100  # separate density curves
+BROADCAST_CATEGORIES = 100_000  # density statistics rows sent to every task at most
 
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -231,37 +232,40 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
 
 
 def density(df: DataFrame, column: str, points: int = 40, by: str | None = None) -> DataFrame:
-    """Gaussian kernel density on an even grid, Scott bandwidth, one pass with partial sums."""
+    """Gaussian kernel density on an even grid per category, Scott bandwidth.
+
+    Two aggregates whatever the number of categories: statistics per category, then all
+    kernel sums of all categories at once (partial sums before the shuffle). The statistics
+    reach the rows by a broadcast while there are at most ``BROADCAST_CATEGORIES`` of them,
+    else by a join. Categories with one value or no spread have no curve.
+    """
     keys = [by] if by else []
-    x = F.col(column).cast("double")
-    stats = [
-        row
-        for row in df.filter(x.isNotNull())
-        .groupBy(*keys)
-        .agg(F.count(x).alias("n"), F.stddev_samp(x).alias("s"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-        .filter("n > 1 and s > 0")
-        .limit(CATEGORY_LIMIT + 1)
-        .collect()
-    ]
-    if len(stats) > CATEGORY_LIMIT:
-        raise ValueError(f"{by} has more than {CATEGORY_LIMIT} categories")
-    results = None
-    for row in stats:
-        h = row["s"] * row["n"] ** (-0.2)
-        step = (row["hi"] - row["lo"]) / (points - 1)
-        grid = [row["lo"] + i * step for i in range(points)]
-        scale = 1.0 / (row["n"] * h * (2 * 3.141592653589793) ** 0.5)
-        part = df.filter(x.isNotNull() & (F.col(by).eqNullSafe(F.lit(row[by])) if by else F.lit(True)))
-        sums = [F.sum(F.exp(F.lit(-0.5) * F.pow((x - F.lit(g)) / F.lit(h), F.lit(2.0)))) for g in grid]
-        rows = F.array(
-            *[
-                F.struct(F.lit(i).alias("point"), F.lit(g).alias("x"), (s * F.lit(scale)).alias("density"))
-                for i, (g, s) in enumerate(zip(grid, sums))
-            ]
-        )
-        one = part.agg(rows.alias("_all")).select(*([F.lit(row[by]).alias(by)] if by else []), F.inline("_all"))
-        results = one if results is None else results.unionByName(one)
-    return results
+    rows = df.select(*keys, F.col(column).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    stats = (
+        rows.groupBy(*keys)
+        .agg(F.count("_x").alias("_n"), F.stddev_samp("_x").alias("_s"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        .filter("_n > 1 and _s > 0")
+        .withColumn("_h", F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2)))
+        .withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.lit(points - 1))
+        .withColumn("_scale", F.lit(1.0) / (F.col("_n") * F.col("_h") * F.lit((2 * 3.141592653589793) ** 0.5)))
+        .select(*[F.col(k).alias("_key") for k in keys], F.lit(0).alias("_one"), "_lo", "_step", "_h", "_scale")
+    )
+    if by:
+        fitted = materialize(stats, "density-stats")
+        small = fitted.count() <= BROADCAST_CATEGORIES
+        joined = rows.join(F.broadcast(fitted) if small else fitted, F.col(by).eqNullSafe(F.col("_key")))
+    else:
+        joined = rows.withColumn("_one", F.lit(0)).join(F.broadcast(stats), "_one")  # one row
+    x, lo, step, h = F.col("_x"), F.col("_lo"), F.col("_step"), F.col("_h")
+    sums = [F.sum(F.exp(F.lit(-0.5) * F.pow((x - (lo + F.lit(i) * step)) / h, F.lit(2.0)))).alias(f"_d{i}") for i in range(points)]
+    summed = joined.groupBy(*keys, "_lo", "_step", "_scale").agg(*sums)
+    curve = F.array(
+        *[
+            F.struct(F.lit(i).alias("point"), (lo + F.lit(i) * step).alias("x"), (F.col(f"_d{i}") * F.col("_scale")).alias("density"))
+            for i in range(points)
+        ]
+    )
+    return summed.select(*keys, F.inline(curve))
 
 
 def box_plot(df: DataFrame, columns: list[str]) -> DataFrame:
