@@ -27,6 +27,7 @@ input are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 from functools import lru_cache
@@ -43,6 +44,7 @@ from retentio.llm.arrays import bounded_batches
 from retentio.session import materialize
 
 A_FILE = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the same vocabulary, as tiktoken ranks
 B_FILE = public_tokenizers.path("piece_bpe_32k.model")
 SALT = 8  # copies of the pair counts, so that one frequent pair is joined in as many tasks
 SPACE_MARK = "▁"
@@ -63,9 +65,10 @@ def byte_alphabet() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def tokenizers(a_file: str = A_FILE, b_file: str = B_FILE):
-    """(A tokenizer, bytes of every A id, B processor, bytes of every B id), once per worker."""
+    """(A encoder, bytes of every A id, B processor, bytes of every B id), once per worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task, as Spark counts
     import sentencepiece
+    import tiktoken
     from tokenizers import Tokenizer
 
     a = Tokenizer.from_file(a_file)
@@ -79,6 +82,10 @@ def tokenizers(a_file: str = A_FILE, b_file: str = B_FILE):
         else:  # special entries, never produced here
             a_bytes.append(token.encode())
     b = sentencepiece.SentencePieceProcessor(model_file=b_file)
+    # A's ids come from tiktoken over the same vocabulary as ranks: four times faster, and the
+    # same ids as the tokenizers library (all 56,282 texts of two check tables, and tests)
+    ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(RANKS, "rb"))}
+    a = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     b_bytes = []
     for i in range(b.get_piece_size()):
         piece = b.id_to_piece(i)
@@ -181,14 +188,14 @@ def align_batch(texts: list[str | None], a_file: str = A_FILE, b_file: str = B_F
     live = [i for i, t in enumerate(texts) if t]
     if not live:
         return out
-    coded_a = a.encode_batch([" " + texts[i] for i in live], add_special_tokens=False)
+    coded_a = a.encode_ordinary_batch([" " + texts[i] for i in live], num_threads=1)
     coded_b = b.encode([texts[i] for i in live], num_threads=1)
     kept, ids_a, ids_b = [], [], []
     for i, ea, ib in zip(live, coded_a, coded_b):
         whole = (" " + texts[i]).encode()
-        if _spelled(a_bytes, ea.ids) == whole and _spelled(b_bytes, ib) == whole:
+        if _spelled(a_bytes, ea) == whole and _spelled(b_bytes, ib) == whole:
             kept.append(i)
-            ids_a.append(np.asarray(ea.ids, dtype=np.int64))
+            ids_a.append(np.asarray(ea, dtype=np.int64))
             ids_b.append(np.asarray(ib, dtype=np.int64))
     if not kept:
         return out
