@@ -13,8 +13,10 @@ the driver. Inside a block, texts are cut into short chunks that are advanced to
 chunk's transition-emission product links its ends, so states and likelihoods are exact for
 whole texts of any length.
 
-Initial states come from at most ``SEEDS`` texts (those with the smallest hash); all texts count
-in every pass of training.
+Initial states come from at most ``SEEDS`` seeds: training texts of any length in the order of
+their content hash, short ones joined into blocks of ``SEED_TOKENS`` tokens; only class counts
+reach the driver. Each state is moved by a small seeded factor, so that even identical seeds give
+states that Baum-Welch can tell apart. All texts count in every pass of training.
 
 Defined results: null and empty texts are one end token; words not seen in training get their
 class's share of one unseen word; repeated rows and null ids are scored as rows of their own;
@@ -37,7 +39,9 @@ from retentio.llm.arrays import Words, bounded_batches, mixed, slices, span_hash
 from retentio.session import materialize
 
 STATES, CLASSES, PASSES = 6, 1 << 14, 5
-SEEDS, SEED_TOKENS = 240, 40
+SEEDS, SEED_TOKENS = 240, 40  # seeds of starting states; short texts are joined into blocks of SEED_TOKENS
+SEED_TEXTS = 16 * SEEDS  # texts with the smallest hashes that may form seeds (their hash and length reach the driver)
+PERTURB, PERTURB_SEED = 0.02, 7  # each state's emissions start moved by up to 2 %, so states never start equal
 BLOCK_TOKENS = 1 << 20
 CHUNK = 64
 SCALED = 8
@@ -328,40 +332,88 @@ def _pass(table: DataFrame, model: Model) -> tuple[Model, float]:
     )
 
 
-def _seeds(table: DataFrame) -> list[np.ndarray]:
-    """Classes of at most about ``SEEDS`` different training texts: those with the smallest hashes."""
-    eligible = F.filter(F.arrays_zip("held", "lengths"), lambda x: ~x["held"] & (x["lengths"] > SEED_TOKENS))
+def _selected(table: DataFrame):
+    """Training texts (not held out, not empty) whose content hash falls below a share that
+    leaves about ``SEED_TEXTS`` of them; as (own hash, tokens, class of each token)."""
+    eligible = F.filter(F.arrays_zip("held", "lengths"), lambda x: ~x["held"] & (x["lengths"] > 0))
     n = table.agg(F.sum(F.size(eligible))).first()[0] or 0
-    below = SEEDS / n if n > SEEDS else 1.0
+    below = SEED_TEXTS / n if n > SEED_TEXTS else 1.0
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                held, lengths, words, kinds = (np.asarray(batch.column(c)[i].values) for c in ("held", "lengths", "words", "kinds"))
-                tokens = _spread(batch.column("tokens")[i].as_py())
-                begin = np.cumsum(lengths) - lengths
-                own = mixed(np.add.reduceat(mixed(words.view(np.uint64))[tokens], begin))
-                chosen = np.flatnonzero(~held & (lengths > SEED_TOKENS) & (own.astype(np.float64) < below * 2.0**64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(own[chosen].view(np.int64)),
-                        pa.array([kinds[tokens[begin[d] : begin[d] + lengths[d]]] for d in chosen], pa.list_(pa.int32())),
-                    ],
-                    names=["own", "kinds"],
-                )
+    def texts(batch):
+        for i in range(batch.num_rows):
+            held, lengths, words, kinds = (np.asarray(batch.column(c)[i].values) for c in ("held", "lengths", "words", "kinds"))
+            tokens = _spread(batch.column("tokens")[i].as_py())
+            begin = np.cumsum(lengths) - lengths
+            own = mixed(np.add.reduceat(mixed(words.view(np.uint64))[tokens], begin)) if len(lengths) else np.empty(0, np.uint64)
+            for d in np.flatnonzero(~held & (lengths > 0) & (own.astype(np.float64) < below * 2.0**64)):
+                yield int(own[d].view(np.int64)), kinds[tokens[begin[d] : begin[d] + lengths[d]]]
+
+    return texts
+
+
+def _seeds(table: DataFrame, classes: int) -> list[np.ndarray]:
+    """Class counts of up to ``SEEDS`` seeds: the selected texts in hash order, short ones joined
+    into blocks of at least ``SEED_TOKENS`` tokens. The driver receives (hash, length) of the
+    selected texts and then the summed class counts of the blocks, never tokens."""
+    texts = _selected(table)
+    columns = table.select("held", "lengths", "words", "kinds", "tokens")
 
-    found = table.select("held", "lengths", "words", "kinds", "tokens").mapInArrow(run, "own long, kinds array<int>")
-    different = found.groupBy("own").agg(F.first("kinds").alias("kinds")).orderBy("own").limit(SEEDS)
-    return [np.array(row.kinds) for row in different.collect()]
+    def lengths(batches):
+        for batch in batches:
+            found = list(texts(batch))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o for o, _ in found], pa.int64()), pa.array([len(k) for _, k in found], pa.int64())],
+                names=["own", "n"],
+            )
+
+    heads = columns.mapInArrow(lengths, "own long, n long").groupBy("own").agg(F.first("n").alias("n"))
+    block, held, at = {}, 0, 0
+    for row in heads.orderBy("own").limit(SEED_TEXTS).collect():  # at most SEED_TEXTS pairs
+        if at == SEEDS:
+            break
+        block[row["own"]] = at
+        held += row["n"]
+        if held >= SEED_TOKENS:
+            at, held = at + 1, 0
+    if not block:
+        return []
+
+    def counts(batches):
+        for batch in batches:
+            rows = [(o, block[o], np.unique(k, return_counts=True)) for o, k in texts(batch) if o in block]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.full(len(c), o, np.int64) for o, _, (c, _) in rows]) if rows else [], pa.int64()),
+                    pa.array(np.concatenate([np.full(len(c), b, np.int64) for _, b, (c, _) in rows]) if rows else [], pa.int64()),
+                    pa.array(np.concatenate([c for _, _, (c, _) in rows]).astype(np.int64) if rows else [], pa.int64()),
+                    pa.array(np.concatenate([m for _, _, (_, m) in rows]).astype(np.int64) if rows else [], pa.int64()),
+                ],
+                names=["own", "block", "kind", "n"],
+            )
+
+    # each repeated text counts once, as it was chosen once by its hash
+    summed = (
+        columns.mapInArrow(counts, "own long, block long, kind long, n long")
+        .groupBy("own", "block", "kind")
+        .agg(F.max("n").alias("n"))
+        .groupBy("block", "kind")
+        .agg(F.sum("n").alias("n"))
+        .collect()  # at most SEEDS x classes entries
+    )
+    seen = np.zeros((max(block.values()) + 1, classes))
+    for row in summed:
+        seen[row["block"], row["kind"]] += row["n"]
+    return [r for r in seen if r.sum() > 0]
 
 
 def _seeded(table: DataFrame, states: int, classes: int, spread: np.ndarray) -> Model:
-    """Starting states: the class counts of groups of texts that differ most among the seeds."""
-    rows = _seeds(table)
+    """Starting states: the class counts of groups of seeds that differ most, each state then
+    moved by its own small seeded factor, so that no two states start equal."""
+    rows = _seeds(table, classes)
     spread = (spread + 1.0) / (spread + 1.0).sum()
     emit = np.tile(spread, (states, 1))
     if rows:
-        seen = np.stack([np.bincount(r, minlength=classes) for r in rows]).astype(float)
+        seen = np.stack(rows)
         shape = np.sqrt(seen / seen.sum(axis=1)[:, None])
         chosen = [int(np.argmax(shape @ shape.sum(axis=0)))]
         for _ in range(1, min(states, len(rows))):
@@ -372,8 +424,11 @@ def _seeded(table: DataFrame, states: int, classes: int, spread: np.ndarray) ->
             centres = np.stack([shape[near == s].sum(axis=0) if (near == s).any() else c for s, c in enumerate(centres)])
             centres /= np.linalg.norm(centres, axis=1)[:, None]
         for s in np.unique(near):  # states without a seed start from all texts
-            own = seen[near == s].sum(axis=0)
-            emit[s] = 0.6 * own / own.sum() + 0.4 * spread
+            # the update of a pass, with its prior, applied to the seeds of the state
+            own = seen[near == s].sum(axis=0) + PRIOR * spread
+            emit[s] = own / own.sum()
+    emit *= np.random.default_rng(PERTURB_SEED).uniform(1 - PERTURB, 1 + PERTURB, size=emit.shape)
+    emit /= emit.sum(axis=1)[:, None]
     move = np.full((states, states), 0.04 / max(states - 1, 1))
     np.fill_diagonal(move, 0.96 if states > 1 else 1.0)
     return Model(np.full(states, 1 / states), move, emit)

@@ -357,3 +357,23 @@ def test_pipeline(spark, docs, none):
                 assert current.columns == names
                 current = spark.createDataFrame(current.collect(), "doc_id long, text string, lang string, source string, n_chars long")
         assert "ids" in current.columns
+
+
+def test_language_model_states_differ_on_short_texts(spark):
+    """Ten-word texts only: seeds are joined blocks, states start apart and stay apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vocab = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        half = vocab[:30] if i % 2 else vocab[30:]  # two kinds of text
+        rows.append((i, " ".join(rng.choice(half, size=10))))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    table = hmm.blocks(d, F.lit(False))
+    known = hmm.vocabulary(table)
+    model, history = hmm.train(table, known, passes=3)
+    emit = np.asarray(model.emit)
+    gap = max(np.abs(emit[a] - emit[b]).max() for a in range(len(emit)) for b in range(a))
+    assert gap > 1e-4
+    assert history[-1] > history[0]
