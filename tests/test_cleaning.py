@@ -87,3 +87,30 @@ def test_number_and_date_coercion(spark):
 
     got = df.select(encode.to_number(F.col("n"), 1), parse_timestamp(F.col("d"), "dd/MM/yyyy").cast("date")).collect()
     assert [tuple(r) for r in got] == [(12.5, dt.date(2024, 1, 5)), (1.0, dt.date(2023, 12, 31)), (1.0, None)]
+
+
+def test_only_rows_with_a_gap_are_written_again(spark, monkeypatch):
+    rows = [(1, 10.0, "a"), (1, None, None), (1, 20.0, "a"), (2, None, "b"), (3, 5.0, None), (None, None, "a"), (1, 20.0, "a")]
+    df = spark.createDataFrame(rows, "client_id long, amount double, gender string")
+    fitted, written, plain = impute.fit_imputer(df), [], impute.materialize
+
+    def recorded(table, *args):
+        made = plain(table, *args)
+        written.append(made.count())
+        return made
+
+    monkeypatch.setattr(impute, "materialize", recorded)
+    got = fitted.apply_staged(df)
+    assert written == [3]
+    assert sorted(map(str, got.collect())) == sorted(map(str, fitted.apply(df).collect()))
+
+
+def test_cleaning_does_not_write_the_whole_filled_table(spark, monkeypatch):
+    from retentio.plans import stages
+
+    labels = []
+    monkeypatch.setattr(stages, "materialize", lambda table, label="stage", *a: labels.append(label) or table)
+    rows = [(1, 10.0 + i, "a", D(2024, 1, 1 + i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "client_id long, amount double, gender string, purchase_ts timestamp_ntz")
+    fitted = stages.fit_cleaning(df)
+    assert labels == [] and fitted.filled.count() == 5
