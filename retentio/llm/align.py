@@ -10,7 +10,7 @@ UTF-8 with U+2581 read as a space and ``<0xHH>`` read as the byte HH.
 
 Method (divide and conquer at shared cuts): the byte offsets where tokens end form two
 sorted arrays; their intersection holds the shared ends. For an interval between shared
-ends, bisection finds the shared end nearest its middle byte; the interval is cut there and
+ends, a table of shared ends up to each byte gives the one nearest its middle byte; it is cut there and
 both halves are worked on the same way. An interval without a shared end inside is a leaf
 group. The recursion runs one level at a time over all open intervals of a whole Arrow batch
 (texts laid end to end, so every text's end is a shared end), as array operations. Links are
@@ -120,26 +120,23 @@ def all_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
 def split_levels(cuts: np.ndarray) -> np.ndarray:
     """Divide and conquer over sorted shared ends ``cuts`` (the first is the start), one level
     at a time for all intervals: an interval with shared ends inside is cut at the one nearest
-    its middle byte, found by bisection; an interval without is a leaf. Returns the leaves as
-    (first, last) index pairs into ``cuts``, in order."""
+    its middle byte, looked up in a table of shared ends up to each byte; an interval without is
+    a leaf. Returns the leaves as (first, last) index pairs into ``cuts``, in order."""
     if len(cuts) < 2:
         return np.empty((0, 2), dtype=np.int64)
-    open_ = np.array([[0, len(cuts) - 1]], dtype=np.int64)
-    leaves = []
-    while len(open_):
-        lo, hi = open_[:, 0], open_[:, 1]
+    upto = np.cumsum(np.bincount(cuts))  # upto[x]: cuts at or before byte x
+    lo, hi = np.array([0]), np.array([len(cuts) - 1])
+    leaves = np.empty((len(cuts) - 1, 2), dtype=np.int64)
+    while len(lo):
         leaf = hi - lo < 2
-        leaves.append(open_[leaf])
+        leaves[lo[leaf], 0], leaves[lo[leaf], 1] = lo[leaf], hi[leaf]
         lo, hi = lo[~leaf], hi[~leaf]
-        if not len(lo):
-            break
-        middle = (cuts[lo] + cuts[hi]) / 2
-        right = np.clip(np.searchsorted(cuts, middle, "left"), lo + 1, hi - 1)
+        twice = cuts[lo] + cuts[hi]  # twice the middle byte
+        right = np.clip(upto[(twice - 1) // 2], lo + 1, hi - 1)
         left = np.maximum(right - 1, lo + 1)
-        at = np.where(middle - cuts[left] <= cuts[right] - middle, left, right)
-        open_ = np.concatenate([np.stack([lo, at], 1), np.stack([at, hi], 1)])
-    found = np.concatenate(leaves)
-    return found[np.argsort(found[:, 0], kind="stable")]
+        at = np.where(twice - 2 * cuts[left] <= 2 * cuts[right] - twice, left, right)
+        lo, hi = np.concatenate([lo, at]), np.concatenate([at, hi])
+    return leaves
 
 
 def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -206,14 +203,16 @@ def align_batch(texts: list[str | None], a_file: str = A_FILE, b_file: str = B_F
     doc_b = np.repeat(np.arange(len(kept)), [len(x) for x in ids_b])
     ia, ib = np.concatenate(ids_a), np.concatenate(ids_b)
     ends_a, ends_b = np.cumsum(len_a[ia]), np.cumsum(len_b[ib])
-    doc_end = np.cumsum([len(texts[i].encode()) + 1 for i in kept])
+    # token ends at each byte and up to it: lookups in place of a search per end
+    at_byte_a, at_byte_b = np.bincount(ends_a), np.bincount(ends_b)
+    upto_a, upto_b = np.cumsum(at_byte_a), np.cumsum(at_byte_b)
 
-    cuts = np.concatenate([[0], shared_ends(ends_a, ends_b)])
+    cuts = np.concatenate([[0], np.flatnonzero((at_byte_a > 0) & (at_byte_b > 0))])
     leaves = split_levels(cuts)
     first, last = cuts[leaves[:, 0]], cuts[leaves[:, 1]]
-    a_lo, a_hi = np.searchsorted(ends_a, first, "right"), np.searchsorted(ends_a, last, "right")
-    b_lo, b_hi = np.searchsorted(ends_b, first, "right"), np.searchsorted(ends_b, last, "right")
-    doc_g = np.searchsorted(doc_end, last, "left")
+    a_lo, a_hi = upto_a[first], upto_a[last]
+    b_lo, b_hi = upto_b[first], upto_b[last]
+    doc_g = doc_a[a_hi - 1]
 
     # "a,a|b,b;" per group, the last of a text without ";"
     group_a = np.repeat(np.arange(len(leaves)), a_hi - a_lo)
@@ -234,15 +233,15 @@ def align_batch(texts: list[str | None], a_file: str = A_FILE, b_file: str = B_F
     text_items = np.bincount(doc_g, weights=size, minlength=len(kept)).astype(np.int64)
     item_end = np.cumsum(text_items)
 
-    pieces = all_ends(ends_a, ends_b)
-    la, lb = np.searchsorted(ends_a, pieces, "left"), np.searchsorted(ends_b, pieces, "left")
-    keys, docs = (ia[la] << 32) | ib[lb], doc_a[la]
-    order = np.lexsort((keys, docs))
-    keys, docs = keys[order], docs[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
-    starts = np.flatnonzero(new)
+    pieces = np.flatnonzero((at_byte_a > 0) | (at_byte_b > 0))
+    la, lb = upto_a[pieces] - at_byte_a[pieces], upto_b[pieces] - at_byte_b[pieces]
+    # text, A id and B id as one number, so that one plain sort brings equal pairs together
+    keys = np.sort((doc_a[la] * len(a_bytes) + ia[la]) * len(b_bytes) + ib[lb])
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     mult = np.diff(np.append(starts, len(keys)))
-    ukeys, udocs = keys[starts], docs[starts]
+    rest, pair_b = np.divmod(keys[starts], len(b_bytes))
+    udocs, pair_a = np.divmod(rest, len(a_bytes))
+    ukeys = (pair_a << 32) | pair_b
     doc_pairs_end = np.searchsorted(udocs, np.arange(len(kept)), "right")
 
     n_groups = np.bincount(doc_g, minlength=len(kept))

@@ -103,3 +103,26 @@ def test_groups_cut_at_every_shared_end(seed):
     sb = np.concatenate([[0], ends_b[:-1]])
     brute = [(i, j) for i in range(len(ends_a)) for j in range(len(ends_b)) if sa[i] < ends_b[j] and sb[j] < ends_a[i]]
     assert list(zip(ia.tolist(), ib.tolist())) == brute
+
+
+def test_cuts_and_links_are_looked_up_not_searched(monkeypatch):
+    """A search per token end made the operator miss its CPU budget."""
+    texts = ["der Fluß fließt 12345 naïvely", "a", None, "", "日本語 text <|endoftext|> x" * 3]
+    expected = [align.groups(*_ends(t)) for t in texts if t]
+    monkeypatch.setattr(align.np, "searchsorted", _search_of(align.np.searchsorted, limit=len(texts)))
+    got = [f["n_groups"] for f in align.align_batch(texts) if f["n_a"]]
+    assert got == [len(g) for g in expected]
+
+
+def _ends(text):
+    a, a_bytes, b, b_bytes = align.tokenizers()
+    ia, ib = a.encode_ordinary(" " + text), b.encode(text)
+    return tuple(align.np.cumsum([len(table[i]) for i in ids]) for table, ids in ((a_bytes, ia), (b_bytes, ib)))
+
+
+def _search_of(search, limit):
+    def checked(x, v, *args, **kwargs):
+        assert len(align.np.atleast_1d(v)) <= limit, "a search per token end"
+        return search(x, v, *args, **kwargs)
+
+    return checked
