@@ -65,3 +65,14 @@ def test_percent_ranks_with_ties(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (4.0,)], "x double")
     got = sorted(r["x_percent_rank"] for r in percent_ranks(df, ["x"]).collect())
     assert got == pytest.approx([0, 1 / 3, 1 / 3, 1])
+
+
+def test_lists_are_fetched_from_bracket_rows_only(spark, monkeypatch):
+    """Counting does not run with the lists: that aggregate sees only rows inside a bracket."""
+    seen = []
+    plain = quantiles.F.collect_list
+    monkeypatch.setattr(quantiles.F, "collect_list", lambda c: seen.append(c) or plain(c))
+    df = frame(spark, [1.0] * 40 + [2.0] * 60)
+    found = quantiles.rank_values(df, {"x": (F.col("x"), [10, 50])})
+    assert found == {"x": {10: 1.0, 50: 2.0}}
+    assert not seen  # nothing lies strictly between, so there is nothing to fetch

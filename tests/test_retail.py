@@ -74,3 +74,20 @@ def test_purchase_rows_move_once_by_customer(spark, folder, no_broadcast):
     plan = retail.transactions(spark, folder)._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(o_custkey" in line or "Exchange hashpartitioning(client_id" in line]
     assert len([line for line in moved if "ENSURE_REQUIREMENTS" in line]) <= 3, plan
+
+
+def test_facts_are_summed_per_order_before_the_join(spark, tmp_path):
+    """Only one row per order meets the orders; before, every line did."""
+    for name in ("lineitem", "orders"):
+        schema, rows = TABLES[name]
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    facts = retail.client_facts(spark, str(tmp_path))
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert "Aggregate [l_orderkey" in below
+    got = {r["client_id"]: (r["purchase_days"], r["freq_per_month"], r["avg_check"]) for r in facts.collect()}
+    assert got == {
+        1: (2.0, 4 / (91 / 30), pytest.approx(300.0)),
+        2: (1.0, 2.0, pytest.approx(350.0)),
+        None: (1.0, 1.0, pytest.approx(500.0)),
+    }
