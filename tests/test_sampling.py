@@ -127,6 +127,21 @@ def test_nearest_neighbours_against_brute_force(spark, monkeypatch, cell_rows):
     assert got == {i: list(row) for i, row in enumerate(want)}
 
 
+@pytest.mark.parametrize("n", [2_000, 16_000])
+def test_rows_meet_few_blocks_however_large_the_table(spark, monkeypatch, n):
+    """Evenly spread rows: the blocks a row visits outside its slab do not grow with the table.
+
+    Blocks cut along one axis only were visited by more rows the more of them there were.
+    """
+    written = {}
+    plain = neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda df, label: written.setdefault(label, plain(df, label)))
+    x = np.random.default_rng(7).uniform(size=(n, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, vector array<double>")
+    assert neighbors.nearest(df, 2, 50).count() == n
+    assert written["visits"].count() < 3 * n
+
+
 def test_rebalance_methods(points):
     scored = points.withColumn("loyalty_score", (F.col("a") - F.lit(-5)) / 12)
     df, label, recut = sampling.rebalance(scored, "boundary", "y")
