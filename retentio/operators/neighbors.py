@@ -2,21 +2,19 @@
 
 Index: the vectors are projected onto their ``AXES`` leading principal axes. The axes are
 orthonormal, so a distance between projections never exceeds the true distance. Rows are
-ordered by the first projected axis and cut into slabs of ``SLAB_BLOCKS`` x ``cell_rows`` rows;
-a slab is halved at the median of its widest axis until its parts, the blocks, have at most
-``cell_rows`` rows. So blocks are short on every axis and not only on the first, and the number
-of them near a row does not grow with the table. Each block keeps its box (least and largest
-projection on every axis), one row per block.
+ordered by the first projected axis and cut into slabs of at most ``SLAB_BLOCKS`` blocks; a slab
+is halved at the median of its widest axis until its parts, the blocks, have at most
+``cell_rows`` rows. So blocks are short on every axis and not only on the first. Each block
+keeps its box (least and largest projection on every axis), one row per block.
 
 Search: every row first searches its own block, and its k-th distance there (its reach)
-bounds the answer; the other blocks of its slab whose box comes within its reach are searched
-in the same task and shorten the reach. It then visits every block of other slabs within its
-reach: bisection on the slabs' first-axis ranges (ordered, as the slabs are) finds the
-candidates, and the box test on all axes decides. Visits are grouped by block; a block
-visited by many rows is met in parts of at most ``QUERY_ROWS`` rows, each part against the
-whole block, so no task holds more than one slab, or one block and one part. Each task keeps
-k per row and a bounded merge (k per visited block) keeps the k best per row. Distances live
-in numpy blocks inside the tasks; pairs are never written out.
+bounds the answer. It then visits every other block whose box comes within its reach:
+bisection on the slabs' first-axis ranges (ordered, as the slabs are) finds the candidates,
+and the box test on all axes decides. Visits are grouped by block; a block visited by many
+rows is met in parts of at most ``QUERY_ROWS`` rows, each part against the whole block, so no
+task searches more than one block and one part (the cut holds one slab). Each task keeps k per
+row and a bounded merge (k per visited block) keeps the k best per row. Distances live in
+numpy blocks inside the tasks; pairs are never written out.
 
 One path for every size: a table of one block is searched as one block. The box table has
 at most ``MAX_BLOCKS`` rows (blocks grow beyond that), which bounds what the driver holds.
@@ -36,7 +34,7 @@ from retentio.operators.ranking import with_row_index
 from retentio.session import materialize
 
 CELL_ROWS = 4_096
-SLAB_BLOCKS = 16
+SLAB_BLOCKS = 32
 QUERY_ROWS = 50_000
 MAX_BLOCKS = 1_000_000
 AXES = 3
@@ -86,10 +84,12 @@ def nearest(df: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     projected = _project(df.select("id", "vector"), axes)
     ordered = with_row_index(projected, [F.col("p")[0], F.col("id")], "_index")
     width = axes.shape[1]
-    slabs = ordered.select("id", "vector", "p", F.floor(F.col("_index") / F.lit(rows * SLAB_BLOCKS)).cast("int").alias("slab"))
-    local = materialize(_search_slabs(slabs, k, rows, width), "cells")
+    per_slab = max(1, min(SLAB_BLOCKS, round((n / rows) ** (2 / 3))))
+    slabs = ordered.select("id", "vector", "p", F.floor(F.col("_index") / F.lit(rows * per_slab)).cast("int").alias("slab"))
+    blocks = materialize(_cut(slabs, rows, width), "blocks")
+    local = materialize(_search_home(blocks, k), "cells")
     boxes = (
-        local.groupBy("cell")
+        blocks.groupBy("cell")
         .agg(*[F.min(F.col("p")[j]).alias(f"lo{j}") for j in range(width)], *[F.max(F.col("p")[j]).alias(f"hi{j}") for j in range(width)])
         .orderBy("cell")
         .collect()  # one row per block, about MAX_BLOCKS at most
@@ -97,7 +97,7 @@ def nearest(df: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     low = np.array([[b[f"lo{j}"] for j in range(width)] for b in boxes], dtype=float).reshape(len(boxes), width)
     high = np.array([[b[f"hi{j}"] for j in range(width)] for b in boxes], dtype=float).reshape(len(boxes), width)
     cells = np.array([b["cell"] for b in boxes], dtype=np.int64)
-    remote = _search_around(local, cells, low, high, k)
+    remote = _search_around(local, blocks, cells, low, high, k)
     both = local.select("id", F.inline("neighbours")).toDF("id", "distance", "other").unionByName(
         remote.select("id", F.inline("neighbours")).toDF("id", "distance", "other")
     )
@@ -157,42 +157,35 @@ def _blocks(p: np.ndarray, rows: int) -> list[np.ndarray]:
 
 
 def _within(p: np.ndarray, low: np.ndarray, high: np.ndarray, bound) -> np.ndarray:
-    """Whether the box or boxes come within ``bound`` of the projection or projections."""
+    """Whether the boxes come within ``bound`` of the projection."""
     gaps = np.maximum(np.maximum(low - p, p - high), 0.0)
     return np.sqrt((gaps**2).sum(axis=1)) <= bound
 
 
-def _search_slabs(slabs: DataFrame, k: int, rows: int, width: int) -> DataFrame:
+def _cut(slabs: DataFrame, rows: int, width: int) -> DataFrame:
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = np.array(pdf["p"].tolist(), dtype=float).reshape(len(pdf), width)
+        cell = np.zeros(len(pdf), dtype=np.int64)
+        for j, part in enumerate(_blocks(p, rows)):  # at most SLAB_BLOCKS of them
+            cell[part] = j
+        return pdf.assign(cell=pdf["slab"] * SLAB_BLOCKS + cell)[["id", "vector", "p", "cell"]]
+
+    return slabs.groupBy("slab").applyInPandas(cut, "id long, vector array<double>, p array<double>, cell int")
+
+
+def _search_home(blocks: DataFrame, k: int) -> DataFrame:
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, vectors = pdf["id"].to_numpy(), np.array(pdf["vector"].tolist(), dtype=float)
-        p = np.array(pdf["p"].tolist(), dtype=float).reshape(len(pdf), width)
-        blocks = _blocks(p, rows)
-        block, reach, lists = np.zeros(len(pdf), dtype=np.int64), np.full(len(pdf), math.inf), [[] for _ in ids]
-
-        def keep(i, found):
-            lists[i] = sorted(lists[i] + found, key=lambda x: (x["distance"], x["id"]))[:k]
-            if len(lists[i]) >= k:
-                reach[i] = lists[i][k - 1]["distance"]
-
-        for j, own in enumerate(blocks):
-            block[own] = j
-            for i, found in zip(own, _top(ids[own], vectors[own], ids[own], vectors[own], k)):
-                keep(i, found)
-        for j, other in enumerate(blocks):
-            near = (block != j) & _within(p, p[other].min(0), p[other].max(0), reach * (1 + EPSILON) + EPSILON)
-            near = np.flatnonzero(near)
-            limits = reach[near] * (1 + EPSILON)
-            for i, found in zip(near, _top(ids[near], vectors[near], ids[other], vectors[other], k, limits)):
-                keep(i, found)
-        cell = int(pdf["slab"].iloc[0]) * SLAB_BLOCKS + block
-        return pdf.assign(cell=cell, neighbours=lists, reach=reach)[["id", "vector", "p", "cell", "reach", "neighbours"]]
+        lists = _top(ids, vectors, ids, vectors, k)
+        reach = [l[k - 1]["distance"] if len(l) >= k else math.inf for l in lists]
+        return pdf.assign(neighbours=lists, reach=reach)[["id", "vector", "p", "cell", "reach", "neighbours"]]
 
     schema = "id long, vector array<double>, p array<double>, cell int, reach double, "
     schema += "neighbours array<struct<distance:double,id:long>>"
-    return slabs.groupBy("slab").applyInPandas(search, schema)
+    return blocks.groupBy("cell").applyInPandas(search, schema)
 
 
-def _search_around(local: DataFrame, cells: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> DataFrame:
+def _search_around(local: DataFrame, blocks: DataFrame, cells: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> DataFrame:
     slab = cells // SLAB_BLOCKS
     first = np.flatnonzero(np.r_[True, slab[1:] != slab[:-1]])  # first block of each slab
     ends = np.r_[first, len(cells)]
@@ -212,7 +205,7 @@ def _search_around(local: DataFrame, cells: np.ndarray, low: np.ndarray, high: n
                     end = ends[np.searchsorted(slab_low, p[0] + bound, "right")]
                     near = np.arange(start, end)
                     near = near[_within(p, low[near], high[near], bound)]
-                lists.append(cells[near[slab[near] != home // SLAB_BLOCKS]].tolist())
+                lists.append(cells[near[cells[near] != home]].tolist())
             yield pd.DataFrame({"id": pdf["id"], "vector": pdf["vector"], "reach": pdf["reach"], "cells": lists})
 
     queries = materialize(
@@ -224,7 +217,7 @@ def _search_around(local: DataFrame, cells: np.ndarray, low: np.ndarray, high: n
     parts = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("parts"))
     salted = queries.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     spread = (
-        local.select("id", "vector", "cell")
+        blocks.select("id", "vector", "cell")
         .join(parts, "cell")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )

@@ -129,7 +129,7 @@ def test_nearest_neighbours_against_brute_force(spark, monkeypatch, cell_rows):
 
 @pytest.mark.parametrize("n", [2_000, 16_000])
 def test_rows_meet_few_blocks_however_large_the_table(spark, monkeypatch, n):
-    """Evenly spread rows: the blocks a row visits outside its slab do not grow with the table.
+    """Evenly spread rows: the blocks a row visits do not grow with the table.
 
     Blocks cut along one axis only were visited by more rows the more of them there were.
     """
