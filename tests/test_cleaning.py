@@ -114,3 +114,26 @@ def test_cleaning_does_not_write_the_whole_filled_table(spark, monkeypatch):
     df = spark.createDataFrame(rows, "client_id long, amount double, gender string, purchase_ts timestamp_ntz")
     fitted = stages.fit_cleaning(df)
     assert labels == [] and fitted.filled.count() == 5
+
+
+def test_customer_medians_are_taken_in_sorted_order(spark, monkeypatch):
+    """Rows sorted by customer by the join are not put into a hash table of all customers' values, which spills."""
+    plans, plain = [], impute.materialize
+
+    def recorded(table, label="stage", *args):
+        if label == "customer-medians":
+            plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return plain(table, label, *args)
+
+    monkeypatch.setattr(impute, "materialize", recorded)
+    limit, name = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.execution.replaceHashWithSortAgg"
+    before, kept = spark.conf.get(limit), spark.conf.get(name)
+    spark.conf.set(limit, "-1")
+    try:
+        rows = [(1, 10.0), (1, None), (1, 20.0), (2, None), (3, 5.0), (None, 7.0), (1, 40.0)]
+        fitted = impute.fit_imputer(spark.createDataFrame(rows, "client_id long, amount double"))
+    finally:
+        spark.conf.set(limit, before)
+    assert "SortAggregate" in plans[0] and "ObjectHashAggregate" not in plans[0], plans[0]
+    assert {r["client_id"]: r["amount"] for r in fitted.customer_medians.collect()} == {1: 20.0, 2: None}
+    assert spark.conf.get(name) == kept

@@ -91,3 +91,30 @@ def test_facts_are_summed_per_order_before_the_join(spark, tmp_path):
         2: (1.0, 2.0, pytest.approx(350.0)),
         None: (1.0, 1.0, pytest.approx(500.0)),
     }
+
+
+def _last_joins(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Join [" in line][:2]
+
+
+def test_names_join_after_the_customers(spark, folder):
+    """Where Spark sends part and supplier to the rows, their texts come last and no shuffle carries them."""
+    joins = _last_joins(retail.transaction_rows(spark, folder))
+    assert "s_suppkey" in joins[0] and "p_partkey" in joins[1], joins
+
+
+def test_names_join_before_the_customers_where_they_move_the_rows(spark, folder, no_broadcast):
+    joins = _last_joins(retail.transaction_rows(spark, folder))
+    assert "c_custkey" in joins[0] and "s_suppkey" in joins[1], joins
+
+
+def test_the_written_purchase_table_holds_raw_fields(spark, folder, monkeypatch):
+    from checks import stages
+
+    columns, plain = [], stages.materialize
+    monkeypatch.setattr(stages, "materialize", lambda df, *a: columns.append(df.columns) or plain(df, *a))
+    got, wanted = stages.tx(spark, folder), retail.transactions(spark, folder)
+    assert len(columns) == 1 and not {"external_discount", "bonus_earned", "balance_accrued", "balance_gift"} & set(columns[0])
+    assert got.dtypes == wanted.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
