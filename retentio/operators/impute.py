@@ -62,11 +62,12 @@ class Imputer:
 
     def apply_staged(self, df: DataFrame) -> DataFrame:
         """``apply`` for a written table that is read several times: only the rows that meet the
-        median table are written again, the others stay a scan with constant fills."""
+        median table are written again, the others stay a scan with constant fills. They are bucketed
+        by customer: with a table that is bucketed alike, sums per customer need no shuffle."""
         if self.customer_medians is None or self.key not in df.columns:
             return self.fill_globally(df)
         lacking = any_null(self.median_columns)
-        patched = materialize(self.fill_by_customer(df.filter(lacking)), "filled", "zstd")
+        patched = materialize(self.fill_by_customer(df.filter(lacking)), "filled", "zstd", self.key)
         return self.fill_globally(df.filter(~lacking).unionByName(patched))
 
 

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+OPEN_FILES = "32"  # bucket files of one task; it sorts the rows beyond them
 
 
 def spark_session(app: str = "retentio", master: str | None = None, **conf) -> SparkSession:
@@ -72,13 +73,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/retentio/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "stage", compression: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", compression: str | None = None, buckets: str | None = None) -> DataFrame:
     """Write once, read many: cuts lineage, survives executor loss and keeps column pruning.
 
     A written table is used rather than ``checkpoint()`` because the latter evaluates its
     input twice and stores rows, so later single-column passes would read everything.
+
+    ``buckets`` names a key: the table is written in as many buckets of it as shuffles have
+    partitions, so that later joins and groups by that key do not move its rows again. A task
+    holds a shuffle partition or a few, so it keeps their files open instead of sorting its rows.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    if buckets is None:
+        df.write.parquet(path, compression=compression)
+        return spark.read.schema(df.schema).parquet(path)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = df.write.bucketBy(count, buckets)
+    if compression is not None:
+        written = written.option("compression", compression)
+    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", OPEN_FILES):
+        written.saveAsTable(name, format="parquet", path=path)
+    return spark.table(name)

@@ -6,7 +6,7 @@ import contextlib
 import io
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentio.functions.columns import whole_days
@@ -63,22 +63,21 @@ def clients(spark: SparkSession, folder: str) -> DataFrame:
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
-def _names_moved_last(lines: DataFrame, part: DataFrame, supplier: DataFrame) -> bool:
-    """Whether Spark, by its own estimates, sends part and supplier to the lines and not the lines to them."""
-    joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+def _moves_the_lines(lines: DataFrame, other: DataFrame, condition: Column) -> bool:
+    """Whether Spark, by its own estimates, moves the lines to join ``other`` and does not send it to them."""
     plan = io.StringIO()
     with contextlib.redirect_stdout(plan):
-        joined.explain()
-    return not re.search("SortMergeJoin|ShuffledHashJoin", plan.getvalue())
+        lines.join(other, condition).explain()
+    return bool(re.search("SortMergeJoin|ShuffledHashJoin", plan.getvalue()))
 
 
 def _raw_rows(spark: SparkSession, folder: str, client: DataFrame) -> DataFrame:
     """Raw fields of the purchase rows: lines joined with order, part, supplier and ``client``.
 
     Lines meet their order first, while they hold numbers only, and the one join by customer
-    leaves the rows grouped by customer. Where Spark joins part and supplier without moving the
-    lines, their texts come after that, so no shuffle carries them; otherwise they come before
-    it, so that the customer's fields do not travel with the lines.
+    leaves the rows grouped by customer. A dimension (part, supplier) that Spark joins without
+    moving the lines comes after that, so no shuffle carries its texts; one that moves them comes
+    before it, so that the customer's fields do not travel with the lines.
     """
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -92,7 +91,8 @@ def _raw_rows(spark: SparkSession, folder: str, client: DataFrame) -> DataFrame:
     names = [(part, F.col("l_partkey") == F.col("p_partkey")), (supplier, F.col("l_suppkey") == F.col("s_suppkey"))]
     owner = [(client, F.col("o_custkey") == F.col("c_custkey"))]
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    for other, condition in owner + names if _names_moved_last(lines, part, supplier) else names + owner:
+    first = [name for name in names if _moves_the_lines(lines, *name)]
+    for other, condition in first + owner + [name for name in names if name not in first]:
         rows = rows.join(other, condition)
     return rows
 
@@ -130,7 +130,8 @@ def client_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Denormalised customer facts: one row per customer, from sums per order.
 
     Lines are summed by order key before they meet the orders, so the join and the distinct
-    dates see one row per order and not one per line.
+    dates see one row per order and not one per line. These rows move once, by customer, which
+    serves the distinct dates, the sums and the join with the customers.
     """
     amount = F.when(F.col("l_quantity") != 50, F.col("l_extendedprice"))
     lines = table(spark, folder, "lineitem").select("l_orderkey", amount.alias("amount"))
@@ -139,7 +140,8 @@ def client_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
     orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("client_id"), F.col("o_orderdate").alias("purchase_ts"))
     months = F.greatest(F.lit(1.0), whole_days(F.max("purchase_ts"), F.min("purchase_ts")) / F.lit(30.0))
-    return summed.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("client_id").agg(
+    bought = summed.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
+    return bought.repartition("client_id").groupBy("client_id").agg(
         F.min("purchase_ts").alias("first_check_date"),
         F.max("purchase_ts").alias("last_check_date"),
         F.count_distinct("purchase_ts").cast("double").alias("purchase_days"),

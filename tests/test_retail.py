@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from retentio.sources import retail
 
@@ -118,3 +119,60 @@ def test_the_written_purchase_table_holds_raw_fields(spark, folder, monkeypatch)
     assert len(columns) == 1 and not {"external_discount", "bonus_earned", "balance_accrued", "balance_gift"} & set(columns[0])
     assert got.dtypes == wanted.dtypes
     assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_each_dimension_joins_where_its_own_size_puts_it(spark, folder, tmp_path):
+    """Before, a part table that moves the rows also put the supplier's texts into the shuffle by customer."""
+    wide = F.concat(F.lit("part "), F.md5(F.col("id").cast("string")))
+    numbers = spark.range(3000)
+    numbers.select(F.col("id").alias("p_partkey"), wide.alias("p_name"), F.lit("PROMO").alias("p_type")).write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    one = spark.createDataFrame(TABLES["lineitem"][1][:1], TABLES["lineitem"][0])
+    numbers.withColumn("l_extendedprice", F.rand(1)).withColumn("l_partkey", F.col("id")).drop("id").crossJoin(one.drop("l_extendedprice", "l_partkey")).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4k")
+    try:
+        joins = _last_joins(retail.transaction_rows(spark, folder))
+    finally:
+        spark.conf.set(name, before)
+    assert "s_suppkey" in joins[0] and "c_custkey" in joins[1], joins
+
+
+def test_order_sums_move_once_by_customer(spark, folder, no_broadcast):
+    plan = retail.client_facts(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(client_id" in line]
+    assert len(moved) == 1, plan
+
+
+def test_the_purchase_table_is_not_shuffled_by_customer_again(spark, folder, no_broadcast, monkeypatch):
+    """Before, medians, filled rows and sums per customer each shuffled the written rows by customer."""
+    from checks import stages
+    from retentio.operators import impute
+
+    plans, plain = {}, impute.materialize
+
+    def recorded(df, label="stage", *args):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, label, *args)
+
+    monkeypatch.setattr(impute, "materialize", recorded)
+    clean = stages.clean(spark, folder)
+    sums = clean.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    plans["sums"] = sums._jdf.queryExecution().executedPlan().toString()
+    moved = {label: plan.count("Exchange hashpartitioning(") for label, plan in plans.items()}
+    # the medians, not the rows, are moved to the rows that lack a value
+    assert moved == {"customer-medians": 0, "filled": 1, "sums": 0}, plans
+    assert {r["client_id"]: r["n"] for r in sums.collect()} == {1: 3, 2: 2}
+    assert clean.filter(F.col("amount").isNull()).count() == 0
+
+
+def test_bucketed_tables_keep_their_rows_and_the_session(spark):
+    from retentio.session import materialize
+
+    rows = [(i % 7 if i % 5 else None, float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "client_id long, amount double")
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    got = materialize(df, "bucketed", "zstd", "client_id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect())) and got.dtypes == df.dtypes
+    assert spark.conf.get(name) == before
