@@ -39,36 +39,69 @@ QUERY_ROWS = 50_000
 MAX_BLOCKS = 1_000_000
 AXES = 3
 BLOCK = 512
+PAIRS = 100_000
 EPSILON = 1e-9
+SLACK = 4 * np.finfo(float).eps  # per dimension and eight more
 
 _OUT = "id long, neighbours array<struct<distance:double,id:long>>"
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of ``a`` to all rows of ``b``, one dimension at a time."""
-    out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        out += (a[:, j, None] - b[None, :, j]) ** 2
+def _distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the pairs (row ``i`` of ``a``, row ``j`` of ``b``), one dimension at a time."""
+    out = np.zeros(len(i))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for axis in range(a.shape[1]):
+            out += (a[i, axis] - b[j, axis]) ** 2
     return np.sqrt(out)
 
 
 def _top(ids, vectors, other_ids, others, k, limits=None):
-    """Per row the k nearest others (self excluded) as sorted (distance, id) lists."""
+    """Per row the k nearest others (self excluded) as sorted (distance, id) lists.
+
+    Squared distances from one matrix product (|b|^2 - 2ab, plus |a|^2) are off by a rounding
+    error that is at most ``SLACK`` times the squared lengths. So the product only finds who may
+    be among the k; their distances are then summed one dimension at a time and decide. Where
+    squared lengths leave the range of doubles, everyone may be among the k.
+    """
+    usable = np.isfinite(others).all(axis=1)  # a distance to any other row is not a number
+    others, other_ids = others[usable], other_ids[usable]
+    if len(others) == 0:
+        return [[] for _ in ids]
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = others.mean(axis=0)
+        a, b = vectors - middle, others - middle
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    slack = SLACK * (vectors.shape[1] + 8)
+    largest = np.finfo(float).max / 16
+    in_range = bool((bb < largest).all() and ((aa < largest) | ~np.isfinite(vectors).all(axis=1)).all())
+    if in_range:
+        left = np.hstack([a, np.ones((len(a), 1))])
+        right = np.hstack([-2 * b, (bb * (1 + slack))[:, None]]).T
     found = []
     for start in range(0, len(ids), BLOCK):
-        d = _distances(vectors[start : start + BLOCK], others)
-        block = ids[start : start + BLOCK]
-        d[block[:, None] == other_ids[None, :]] = np.inf
-        for i, row in enumerate(d):
-            keep = np.isfinite(row)
-            if limits is not None:
-                keep &= row <= limits[start + i]
-            near = np.flatnonzero(keep)
-            if len(near) > k:
-                kth = np.partition(row[near], k - 1)[k - 1]
-                near = near[row[near] <= kth]
-            order = np.lexsort((other_ids[near], row[near]))[:k]
-            found.append([{"distance": float(row[near[o]]), "id": int(other_ids[near[o]])} for o in order])
+        block, rows = ids[start : start + BLOCK], vectors[start : start + BLOCK]
+        near = np.ones((len(block), len(others)), dtype=bool)
+        own = block[:, None] == other_ids[None, :]
+        if in_range:
+            most = left[start : start + BLOCK] @ right  # largest squared distance, less the row's part
+            most[own] = np.inf
+            kth = most.min(axis=1) if k == 1 else np.partition(most, min(k, len(others)) - 1, axis=1)[:, min(k, len(others)) - 1]
+            most -= 2 * slack * bb  # now the least
+            with np.errstate(invalid="ignore"):  # rows with a value that is no number have no neighbours
+                near = most <= (kth + 2 * slack * aa[start : start + BLOCK] + np.finfo(float).tiny * 16)[:, None]
+        near &= ~own
+        i, j = np.nonzero(near)
+        distance = _distances(rows, others, i, j)
+        keep = np.isfinite(distance)
+        if limits is not None:
+            keep &= distance <= limits[start : start + BLOCK][i]
+        i, j, distance = i[keep], j[keep], distance[keep]
+        order = np.lexsort((other_ids[j], distance, i))
+        i, near_ids, distance = i[order], other_ids[j[order]], distance[order]
+        first = np.searchsorted(i, np.arange(len(block)))
+        last = np.minimum(np.searchsorted(i, np.arange(len(block)), "right"), first + k)
+        pairs = [{"distance": d, "id": n} for d, n in zip(distance.tolist(), near_ids.tolist())]
+        found += [pairs[f:l] for f, l in zip(first.tolist(), last.tolist())]
     return found
 
 
@@ -194,24 +227,27 @@ def _search_around(local: DataFrame, blocks: DataFrame, cells: np.ndarray, low:
 
     def visits(batches):
         for pdf in batches:
-            lists = []
-            for p, home, reach in zip(pdf["p"], pdf["cell"], pdf["reach"]):
-                p = np.asarray(p, dtype=float)
-                bound = reach * (1 + EPSILON) + EPSILON
-                if len(p) == 0:
-                    near = np.arange(len(cells))
-                else:
-                    start = ends[np.searchsorted(slab_high, p[0] - bound, "left")]
-                    end = ends[np.searchsorted(slab_low, p[0] + bound, "right")]
-                    near = np.arange(start, end)
-                    near = near[_within(p, low[near], high[near], bound)]
-                lists.append(cells[near[cells[near] != home]].tolist())
-            yield pd.DataFrame({"id": pdf["id"], "vector": pdf["vector"], "reach": pdf["reach"], "cells": lists})
+            n, home = len(pdf), pdf["cell"].to_numpy()
+            p = np.array(pdf["p"].tolist(), dtype=float).reshape(n, low.shape[1])
+            bound = pdf["reach"].to_numpy() * (1 + EPSILON) + EPSILON
+            if low.shape[1]:
+                start = ends[np.searchsorted(slab_high, p[:, 0] - bound, "left")]
+                end = ends[np.searchsorted(slab_low, p[:, 0] + bound, "right")]
+            else:
+                start, end = np.zeros(n, dtype=int), np.full(n, len(cells))
+            counts = np.maximum(end - start, 0)
+            before = np.cumsum(counts) - counts
+            # tests of about ``PAIRS`` boxes at a time; one row has at most all of them
+            for rows in np.split(np.arange(n), np.flatnonzero(np.diff(before // PAIRS)) + 1):
+                row = np.repeat(rows, counts[rows])
+                if len(row) == 0:
+                    continue
+                box = start[row] + np.arange(len(row)) - (before[row] - before[rows[0]])
+                hit = _within(p[row], low[box], high[box], bound[row]) & (cells[box] != home[row])
+                yield pdf[["id", "vector", "reach"]].iloc[row[hit]].assign(cell=cells[box[hit]])
 
     queries = materialize(
-        local.select("id", "vector", "p", "cell", "reach")
-        .mapInPandas(visits, "id long, vector array<double>, reach double, cells array<int>")
-        .select("id", "vector", "reach", F.explode("cells").alias("cell")),
+        local.select("id", "vector", "p", "cell", "reach").mapInPandas(visits, "id long, vector array<double>, reach double, cell int"),
         "visits",
     )
     parts = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("parts"))

@@ -337,21 +337,21 @@ def drop_tomek_links(df: DataFrame, label: str, features: list[str]) -> DataFram
     rows = materialize(
         df.withColumn("_v", vector).withColumn("_id", F.monotonically_increasing_id()), "tomek"
     )
-    mark = F.struct(F.col("_id").alias("id"), F.col(label).alias("label"))
+    # numbers only, so that rows are grouped in a hash table; the label is that of a vector without copies
     groups = materialize(
-        rows.groupBy("_v").agg(F.min(mark).alias("_a"), F.count(F.lit(1)).alias("_copies")), "tomek"
+        rows.groupBy("_v").agg(F.min("_id").alias("_a"), F.min(label).alias("_label"), F.count(F.lit(1)).alias("_copies")), "tomek"
     )
     # copies: the two smallest ids are each other's nearest row
+    mark = F.struct(F.col("_id").alias("id"), F.col(label).alias("label"))
     seconds = (
         rows.join(groups.filter("_copies > 1"), "_v")
-        .filter(F.col("_id") != F.col("_a.id"))
         .groupBy("_v")
-        .agg(F.min(mark).alias("_b"), F.first("_a").alias("_a"))
-        .filter(F.col("_a.label") != F.col("_b.label"))
-        .select(F.explode(F.array("_a.id", "_b.id")).alias("_id"))
+        .agg(F.min(F.when(F.col("_id") == F.col("_a"), mark)).alias("_first"), F.min(F.when(F.col("_id") != F.col("_a"), mark)).alias("_second"))
+        .filter(F.col("_first.label") != F.col("_second.label"))
+        .select(F.explode(F.array("_first.id", "_second.id")).alias("_id"))
     )
-    one = nearest(groups.select(F.col("_a.id").alias("id"), F.col("_v").alias("vector")), 1)
-    single = groups.filter("_copies = 1").select(F.col("_a.id").alias("id"), F.col("_a.label").alias("label"))
+    one = nearest(groups.select(F.col("_a").alias("id"), F.col("_v").alias("vector")), 1)
+    single = groups.filter("_copies = 1").select(F.col("_a").alias("id"), F.col("_label").alias("label"))
     pairs = (
         one.select("id", F.get(F.col("neighbours"), F.lit(0))["id"].alias("other"))
         .join(single, "id")

@@ -142,6 +142,87 @@ def test_rows_meet_few_blocks_however_large_the_table(spark, monkeypatch, n):
     assert written["visits"].count() < 3 * n
 
 
+def _plain_top(ids, x, other_ids, others, k):
+    """The k nearest of every row from all differences, one dimension at a time."""
+    d = np.zeros((len(x), len(others)))
+    for j in range(x.shape[1]):
+        d += (x[:, j, None] - others[None, :, j]) ** 2
+    d = np.sqrt(d)
+    d[ids[:, None] == other_ids[None, :]] = np.inf
+    lists = []
+    for row in d:
+        order = np.lexsort((other_ids, row))[:k]
+        lists.append([{"distance": float(row[o]), "id": int(other_ids[o])} for o in order if np.isfinite(row[o])])
+    return lists
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "far off", "odd", "huge", "tiny"])
+@pytest.mark.parametrize("k", [1, 5])
+def test_search_in_a_block_is_exact(kind, k):
+    """Sums of squares from a matrix product are rounded; they must not decide who is nearest."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6))
+    if kind == "ties":
+        x = rng.integers(0, 3, size=(300, 6)).astype(float)
+    elif kind == "far off":
+        x = 1e9 + x * 1e-3
+    elif kind == "odd":
+        x[3, 2], x[7, 1], x[9, 0] = np.nan, np.inf, -np.inf
+    elif kind == "huge":
+        x[3], x[4], x[5] = x[3] * 1e160, x[4] * 1e300, 1e155
+    elif kind == "tiny":
+        x = x * 1e-165
+    ids = rng.permutation(300) * 3
+    with np.errstate(all="ignore"):
+        want = _plain_top(ids, x, ids, x, k)
+    assert neighbors._top(ids, x, ids, x, k) == want
+
+
+def test_search_in_a_block_sums_few_pairs_by_dimension(monkeypatch):
+    """A matrix product finds who may be near; it was every pair of rows before."""
+    pairs, plain = [], neighbors._distances
+
+    def counted(a, b, i, j):
+        pairs.append(len(i))
+        return plain(a, b, i, j)
+
+    monkeypatch.setattr(neighbors, "_distances", counted)
+    x, ids = np.random.default_rng(9).normal(size=(1_500, 37)), np.arange(1_500)
+    assert neighbors._top(ids, x, ids, x, 5) == _plain_top(ids, x, ids, x, 5)
+    assert sum(pairs) < 6 * len(x)
+
+
+def test_rows_that_visit_no_other_block_are_not_written_again(spark, monkeypatch):
+    """Two far clumps of one block each: no visit, and each visit is a row of its own, not a list."""
+    written = {}
+    plain = neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda df, label: written.setdefault(label, plain(df, label)))
+    x = np.random.default_rng(10).normal(size=(120, 3)) + np.repeat([0, 1e6], 60)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, vector array<double>")
+    assert neighbors.nearest(df, 2, 60).count() == 120
+    assert written["visits"].count() == 0
+
+
+def test_vectors_are_grouped_in_a_hash_table(spark, points, monkeypatch):
+    """The smallest (id, label) pair of a vector had all rows sorted by their features."""
+    plans = []
+    plain = sampling.materialize
+
+    def recorded(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(sampling, "materialize", recorded)
+    sampling.drop_tomek_links(points, "y", ["a", "b"]).count()
+    assert any("HashAggregate" in p for p in plans) and not any("SortAggregate" in p for p in plans)
+
+
+def test_copies_of_many_classes_link_their_two_smallest_ids(spark):
+    rows = [(1, 0, 1.0), (2, 0, 1.0), (3, 1, 1.0), (4, 1, 5.0), (5, 0, 5.0), (6, 0, 5.0), (7, None, 9.0), (8, 1, 9.0)]
+    df = spark.createDataFrame(rows, "client_id long, y int, a double").coalesce(1)
+    assert sorted(r["client_id"] for r in sampling.drop_tomek_links(df, "y", ["a"]).collect()) == [1, 2, 3, 6, 7, 8]
+
+
 def test_rebalance_methods(points):
     scored = points.withColumn("loyalty_score", (F.col("a") - F.lit(-5)) / 12)
     df, label, recut = sampling.rebalance(scored, "boundary", "y")
