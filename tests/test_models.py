@@ -153,3 +153,23 @@ def test_search_spaces_name_existing_parameters(spark, name):
     estimator = classifiers._ESTIMATORS[spec.kind][0]
     for candidate in [*training.grid(training.search_space(name, "grid"))[:3], *training.draws(training.search_space(name), 3)]:
         estimator(**spec.with_params(**candidate).params)
+
+
+def test_multiclass_query_trains_all_six_models_with_their_settings(spark, data, monkeypatch):
+    """The registered query trained three of the six with a twentieth to a fiftieth of their rounds."""
+    import __spark_entry__ as entry
+    from checks import model_queries
+
+    seen, plain = {}, training.train_all
+
+    def recorded(specs, train, *args, **kwargs):
+        seen.update(specs)
+        short = {n: s.with_params(**({"numTrees": 2} if s.kind == "forest" else {"maxIter": 1})) for n, s in specs.items()}
+        return plain(short, train, *args, **kwargs)
+
+    monkeypatch.setattr(training, "train_all", recorded)
+    monkeypatch.setattr(model_queries, "_parts", lambda *_: (table, table))
+    table = assemble(data, FEATURES, "three")
+    out = entry.queries()["multiclass_models"](spark, "").collect()
+    assert seen == classifiers.base_specs() and len(seen) == 6
+    assert {r["model"] for r in out} == set(classifiers.BASE)
